@@ -2,8 +2,8 @@
 
 1. A document's fingerprint has bit i set if more than half of its shingle
    hashes have it set.
-2. The 64 bits are cut into 16 segments of four; a fingerprint becomes the
-   vector of its 16 bit counts. Flipping one bit moves the vector by one step,
+2. The 64 bits are cut into 32 segments of two; a fingerprint becomes the
+   vector of its 32 bit counts. Flipping one bit moves the vector by one step,
    so the Manhattan distance of two vectors never exceeds the Hamming distance
    of their fingerprints.
 3. Grid range-join: a vector is put in its own cell and in every cell one step
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import HIDDEN, ROW_KEY, durable, with_row_key
 from .components import components
 
-SEGMENTS, WIDTH = 16, 4
+WIDTH = 2
 #: Shingles whose bits are counted at once, which bounds the memory for one text.
 BLOCK = 1 << 16
 
@@ -71,32 +71,32 @@ def _with_fingerprints(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
 
 
 def cell(fp: Column) -> Column:
-    """The 16 bit counts, four bits each, as one long.
-
-    Halves are counted apart, as a sum over all 64 bits can overflow.
-    """
-
-    def half(x: Column) -> Column:
-        x = x.bitwiseAND(F.lit(0x55555555)) + F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(0x55555555))
-        return x.bitwiseAND(F.lit(0x33333333)) + F.shiftrightunsigned(x, 2).bitwiseAND(F.lit(0x33333333))
-
-    low, high = fp.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32)
-    return F.shiftleft(half(high), 32).bitwiseOR(half(low))
+    """The 32 bit counts, two bits each, as one long: a pair's low bit is the
+    exclusive or of its bits, its high bit their conjunction."""
+    other, low = F.shiftrightunsigned(fp, 1), F.lit(0x5555555555555555)
+    return fp.bitwiseXOR(other).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(other).bitwiseAND(low), 1))
 
 
 def _steps(at: Column) -> Column:
-    """The cell itself and all cells one step away; null where a count has no such step."""
+    """The cell itself and all cells one step away; null where a count has no such step.
+
+    Flipping the low bit of a count leads from 0 to 1 or back, flipping both
+    bits from 1 to 2 or back.
+    """
     out = [at]
-    for s in range(SEGMENTS):
-        count = F.shiftrightunsigned(at, WIDTH * s).bitwiseAND(F.lit(15))
-        one = F.lit(1 << WIDTH * s)
-        out += [F.when(count < WIDTH, at + one), F.when(count > 0, at - one)]
+    for s in range(0, 64, WIDTH):
+        count = F.shiftrightunsigned(at, s).bitwiseAND(F.lit(3))
+        out += [F.when(count < 2, at.bitwiseXOR(_word(1 << s))), F.when(count > 0, at.bitwiseXOR(_word(3 << s)))]
     return F.array(*out)
 
 
+def _word(bits: int) -> Column:
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits)
+
+
 def _flips(fp: Column) -> Column:
     """The word itself and all words one flip away."""
-    return F.array(fp, *[fp.bitwiseXOR(F.lit(int(np.uint64(1 << i).astype(np.int64)))) for i in range(64)])
+    return F.array(fp, *[fp.bitwiseXOR(_word(1 << i)) for i in range(64)])
 
 
 def near_links(fps: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def near_links(fps: DataFrame) -> DataFrame:
 
     ``fps``: distinct values in a long column fp.
     """
-    in_cells = durable(fps.select("fp", cell(F.col("fp")).alias("c"))).select("fp", F.explode(_steps(F.col("c"))).alias("c")).where("c IS NOT NULL")
+    in_cells = durable(fps.select("fp", cell(F.col("fp")).alias("c"))).select("fp", F.explode(F.filter(_steps(F.col("c")), lambda x: x.isNotNull())).alias("c"))
     shared = in_cells.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
     candidates = durable(in_cells.join(shared, "c", "left_semi").select("fp").distinct())
     words = candidates.select("fp", F.explode(_flips(F.col("fp"))).alias("w"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, hmm, langid, linededup, sharding, simhash
+from . import bpe, chat, decontaminate, embeddings, hmm, langid, linededup, sharding, simhash
 from .common import durable, table
 
 
@@ -40,6 +40,22 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id AND d.text = k.text
 """
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id <= coalesce(c, vec_id) AS kept
+FROM embeddings LEFT JOIN least ON vec_id = least.a LEFT JOIN n ON vec_id = n.a
+"""
+
+
 def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = hmm.held_out(F.col("doc_id"))
@@ -130,8 +146,8 @@ FROM d LEFT JOIN ph USING (r) LEFT JOIN it USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op4_hmm, op5_language_id, op6_sharding, op7_chat, op8_byte_bpe, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_embeddings, op4_hmm, op5_language_id, op6_sharding, op7_chat, op8_byte_bpe, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op7_chat": OP7_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_embeddings": OP3_SQL, "op7_chat": OP7_SQL, "op10_decontaminate": OP10_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embeddings, hmm, langid, linededup, sharding, simhash
+from . import bpe, chat, decontaminate, embeddings, hmm, langid, licenses, linededup, sharding, simhash
 from .common import durable, table
 
 
@@ -122,6 +122,23 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def document_paths(docs: DataFrame) -> DataFrame:
+    """Documents as files in folders of source, five thousands and five hundreds of ids.
+
+    A short text with a licence notice stands for a licence file, one folder up.
+    """
+    short = F.coalesce((F.length("text") < 160) & F.col("text").rlike(licenses.CUE), F.lit(False))
+    number = F.col("doc_id").cast("string")
+    folder = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 5000).cast("string"))
+    inner = F.concat_ws("/", folder, F.floor(F.col("doc_id") / 500).cast("string"), F.concat(F.lit("document."), number))
+    return docs.withColumn("path", F.when(short, F.concat_ws("/", folder, F.concat(F.lit("LICENSE."), number))).otherwise(inner))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return licenses.scan(document_paths(docs), key_col="doc_id")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n = F.size("items").cast("long")
@@ -146,7 +163,7 @@ FROM d LEFT JOIN ph USING (r) LEFT JOIN it USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_embeddings, op4_hmm, op5_language_id, op6_sharding, op7_chat, op8_byte_bpe, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_embeddings, op4_hmm, op5_language_id, op6_sharding, op7_chat, op8_byte_bpe, op9_licenses, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

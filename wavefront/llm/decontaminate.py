@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HIDDEN, ROW_KEY, ascii_lower, durable, with_row_key
+from .common import ROW_KEY, ascii_lower, durable, with_row_key
 
 #: Words of a window, of a hashed gram, and grams of which the least is kept.
 SPAN, GRAM = 8, 5
@@ -100,4 +100,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_items: int =
     return with_row_key(docs, id_col, text_col).join(marked, ROW_KEY, "left_anti").drop(*ROW_KEY)
 
 
-__all__ = ["drop_contaminated", "hits", "words", "HIDDEN"]
+__all__ = ["drop_contaminated", "hits", "words"]

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HIDDEN, ROW_KEY, durable, with_row_key
+from .common import ROW_KEY, durable, with_row_key
 from .components import components
 
 WIDTH = 2
@@ -150,4 +150,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return with_row_key(docs, id_col, text_col).join(kept, ROW_KEY, "left_semi").dropDuplicates(ROW_KEY).drop(*ROW_KEY)
 
 
-__all__ = ["cell", "drop_near_duplicates", "fingerprint", "near_duplicates", "near_links", "HIDDEN"]
+__all__ = ["cell", "drop_near_duplicates", "fingerprint", "near_duplicates", "near_links"]

@@ -1,0 +1 @@
+"""Graph traversal over edge tables with Spark."""

@@ -40,6 +40,10 @@ def _kept(grams: Column) -> Column:
     return F.when(F.size(grams) >= KEEP, F.transform(at, lambda i: F.least(*[F.get(grams, i + j) for j in range(KEEP)]))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _spans(starts: Column, n: int) -> Column:
+    return F.transform(starts, lambda s: F.struct(s.alias("s"), F.lit(n).alias("n")))
+
+
 def _bounded(df: DataFrame) -> DataFrame:
     """``df`` to be broadcast if it is small; a side of any other size is shuffled."""
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
@@ -76,10 +80,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     near = near.withColumn("at", F.filter(F.transform("g", lambda h, i: F.when(F.array_contains(F.col("seeds"), h), i)), lambda i: i.isNotNull()))
     last = F.size("w") - SPAN
     starts = F.array_distinct(F.flatten(F.transform(F.filter("at", lambda i: last >= 0), lambda i: F.sequence(F.greatest(F.lit(0), F.least(i, last) - KEEP + 1), F.least(i, last)))))
-    places = [F.transform(starts, lambda s: F.struct(s.alias("s"), F.lit(SPAN).alias("n")))]
+    places = [_spans(starts, SPAN)]
     for n in short:
         same = F.transform(_grams(F.col("w"), n), lambda h, i: F.when(F.array_contains(F.col("seeds"), h), i))
-        places.append(F.transform(F.filter(same, lambda i: i.isNotNull()), lambda s, n=n: F.struct(s.alias("s"), F.lit(n).alias("n"))))
+        places.append(_spans(F.filter(same, lambda i: i.isNotNull()), n))
     near = near.select(*ROW_KEY, "w", F.concat(*places).alias("places"))
     tried = near.select(*ROW_KEY, F.explode(F.transform("places", lambda p: F.struct(p.s.alias("s"), p.n.alias("n"), F.array_join(F.slice("w", p.s + 1, p.n), " ").alias("window")))).alias("p")).select(*ROW_KEY, "p.*")
     occurs = durable(tried.join(texts, "window"))

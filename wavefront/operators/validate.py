@@ -103,15 +103,13 @@ def depth_from_parents(tree: DataFrame, root: int) -> DataFrame:
     Vertices that never come to the root (a cycle, a parent outside the tree)
     have no row.
     """
-    up = tree.where((F.col("vertex") != root) & F.col("parent").isNotNull()).select("vertex", F.col("parent").alias("to"), F.lit(1).alias("steps"))
-    up = durable(up)
-    done = tree.where(F.col("vertex") == root).select("vertex", F.lit(0).alias("depth"))
+    up = durable(tree.where((F.col("vertex") != root) & F.col("parent").isNotNull()).select("vertex", F.col("parent").alias("to"), F.lit(1).alias("steps")))
     rounds, limit = 0, max(2, tree.count()).bit_length() + 1
-    while rounds < limit and not up.isEmpty():
-        arrived = up.where(F.col("to") == root).select("vertex", F.col("steps").alias("depth"))
-        done = durable(done.unionByName(arrived))
-        going = up.where(F.col("to") != root)
+    while rounds < limit and not up.where(F.col("to") != root).isEmpty():
+        arrived = up.where(F.col("to") == root)
         ahead = up.select(F.col("vertex").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
-        up = durable(going.join(ahead, "to").select("vertex", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps")))
+        moved = up.where(F.col("to") != root).join(ahead, "to").select("vertex", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"))
+        up = durable(arrived.unionByName(moved))
         rounds += 1
-    return done
+    own = tree.where(F.col("vertex") == root).select("vertex", F.lit(0).alias("depth"))
+    return own.unionByName(up.where(F.col("to") == root).select("vertex", F.col("steps").alias("depth")))

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import HIDDEN
+
 #: Bytes of a window; windows overlap by the widest filter less one.
 WINDOW, WIDTHS = 256, (2, 3, 4)
 OVERLAP = max(WIDTHS) - 1
@@ -163,9 +165,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train([t for t, _ in rows], [lang for _, lang in rows]) if rows else None
 
 
-def predict(docs: DataFrame, network: Network | None, text_col: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+def predict(docs: DataFrame, network: Network | None, text_col: str = "text", lang_pred: str = "lang_pred", score: str = "score", keep_text: bool = False) -> DataFrame:
     """``docs`` with the text replaced by the predicted language and its score.
 
+    ``keep_text``: the text stays as well.
+
     Every window of the whole text is classified; a text's probabilities are
     the means over its windows, weighted by their bytes. Null texts, texts
     without a letter, and all texts where there was nothing to learn from get
@@ -173,22 +177,22 @@ def predict(docs: DataFrame, network: Network | None, text_col: str = "text", la
     empty one. Other columns stay, except columns that have an added name.
     """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == text_col or c not in (lang_pred, score)])
-    rest = [f for f in docs.schema if f.name != text_col]
+    rest = [f for f in docs.schema if keep_text or f.name != text_col]
     schema = T.StructType([*rest, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
     if network is None:
         return docs.select(*[F.col(f"`{f.name}`") for f in rest], F.lit(UNKNOWN).alias(lang_pred), F.lit(0.0).alias(score))
-    letters = F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False))
-    docs = docs.withColumn(text_col, F.when(letters, F.col(f"`{text_col}`")))
+    letters = f"{HIDDEN}letters"
+    docs = docs.withColumn(letters, F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paired = network.paired()
         names = np.array(network.languages + [UNKNOWN], object)
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            others = [i for i in range(batch.num_columns) if i != at]
+            at, flag = (batch.schema.get_field_index(c) for c in (text_col, letters))
+            others = [batch.schema.get_field_index(f.name) for f in rest]
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(at).to_pylist()]
+                texts = [t.encode("utf-8", "surrogatepass") if any_letter else b"" for t, any_letter in zip(part.column(at).to_pylist(), part.column(flag).to_pylist())]
                 sizes = np.array([len(t) for t in texts])
                 windows = -(-(sizes + OVERLAP) // WINDOW) * (sizes > 0)
                 data = b"".join([t.ljust(int(n) * WINDOW, b"\0") for t, n in zip(texts, windows)]) + bytes(OVERLAP)

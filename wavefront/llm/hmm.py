@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -196,6 +196,23 @@ def expected_counts(docs: DataFrame, model: Model, text_col: str = "text") -> tu
     return table[:, -1], table[:, SYMBOLS:-1].T, table[:, :SYMBOLS]
 
 
+def frequent(counts: DataFrame, most: int) -> list[Row]:
+    """The most frequent words, by falling count and then name, but not more than ``most``.
+
+    A histogram of sixteen classes for each doubling of the count says where to
+    cut; so the tasks send no more rows than are returned.
+    """
+    classed = counts.where(F.col("word") != END).withColumn("b", F.floor(F.log2("c") * 16))
+    cut, total = None, 0
+    for b, n in sorted(map(tuple, classed.groupBy("b").count().collect()), reverse=True):  # a thousand classes at most
+        total += n
+        if total > most:
+            break
+        cut = b
+    rows = classed.where(F.col("b") >= cut).select("word", "c").collect() if cut is not None else []
+    return sorted(rows, key=lambda r: (-r["c"], r["word"]))
+
+
 def fit(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = 2, sample: int = 400, sample_rounds: int = 12, seed: int = 11) -> Model:
     """The model of training documents whose :func:`word_counts` are ``counts``.
 
@@ -204,7 +221,7 @@ def fit(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: st
     """
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == END, F.col("c"))).alias("d")).first()
     tokens, distinct, rows = totals["n"] or 0, totals["v"], totals["d"] or 0
-    top = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(HELD).collect()
+    top = frequent(counts, HELD)
     held = {}
     for rank, r in enumerate(top):
         word = r["word"].encode("utf-8", "surrogatepass")

@@ -37,6 +37,10 @@ SYMBOLS = 1 + OWN + HASHED
 HELD = 200_000
 #: Pseudo-count of the prior of each state's emissions and each row of transitions.
 PRIOR = 20.0
+#: Characters of a sampled document, from a place that a hash names.
+SAMPLED = 4000
+#: Texts that are taken together: short ones ride along with the steps of a long one.
+ROWS = 5000
 #: Tokens whose recursions are in memory at once, unless one text has more.
 TOKENS = 400_000
 
@@ -178,8 +182,8 @@ def expected_counts(docs: DataFrame, model: Model, text_col: str = "text") -> tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts, n = shared.value, _empty(states), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                sequences = own.classes(batch.column(0).slice(at, 2000).to_pylist())
+            for at in range(0, batch.num_rows, ROWS):
+                sequences = own.classes(batch.column(0).slice(at, ROWS).to_pylist())
                 recursions(sequences, own.start, own.moves, own.emit, counts)
                 n += len(sequences)
         if n:
@@ -248,7 +252,9 @@ def fit(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: st
     if not rows:
         return model
     draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / rows))
-    texts = docs.where(draw).select(F.substring(F.col(f"`{text_col}`"), 1, 4000).alias("t"), F.xxhash64(F.col(f"`{text_col}`")).alias("h")).limit(2 * sample).collect()
+    text, h = F.col(f"`{text_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
+    place = F.pmod(h, F.greatest(F.lit(1), F.length(F.coalesce(text, F.lit(""))) - SAMPLED + 1)).cast("int") + 1
+    texts = docs.where(draw).select(F.substring(text, place, F.lit(SAMPLED)).alias("t"), h.alias("h")).limit(2 * sample).collect()
     begin = model.classes([r["t"] for r in sorted(texts, key=lambda r: r["h"])])
     for _ in range(sample_rounds if begin else 0):
         expected = _empty(states)
@@ -278,8 +284,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
         below = np.log10(own.tokens + own.distinct + 1)
         ends = own.ends
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 texts = part.column(2).to_pylist()
                 sequences = own.classes(texts)
                 likely = recursions(sequences, own.start, own.moves, own.emit) / np.log(10)

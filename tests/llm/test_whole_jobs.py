@@ -2,9 +2,11 @@
 
 import itertools
 import random
+import textwrap
 
 import corpus_pipeline
-from wavefront.llm import jaccard
+import pytest
+from wavefront.llm import jaccard, licenses
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -43,3 +45,17 @@ def test_near_copies_at_four_fifths(spark):
     assert kept.columns == docs.columns and linked > 100
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({find(i) for i in range(len(texts))})
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").isEmpty()
+
+
+@pytest.mark.parametrize("start, mark, end", [("/*", " * ", " */"), ("#!/bin/sh", "# ", "code = 1"), ("", "", ""), ("//", "// ", "int main() {}")])
+def test_wrapped_headers(spark, start, mark, end):
+    """Headers at the width of a page, with the code that follows, at the threshold in use."""
+    body = "def run(x):\n    return x + 1\n" * 5
+    texts = {name: text for name, text in licenses.TEMPLATES if name in ("MIT", "GPL-3.0", "BSD-3-Clause")}
+    files = []
+    for name, text in texts.items():
+        header = "\n".join(mark + x for x in textwrap.wrap(text, 72))
+        files += [(f"{name}/{i}.c", f"{start}\n{header}\n{end}\n" + ("" if mark else "\n") + body + f"y{i}") for i in range(30)]
+    files.append(("none/a.c", body))
+    got = {r["path"]: r["own_license"] for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {p: None if p == "none/a.c" else p.split("/")[0] for p, _ in files}

@@ -1,7 +1,8 @@
 """License scans: TF-IDF cosine to templates, then inheritance down directories.
 
-A passage is a line of a file that speaks of licences, or the whole text of a
-licence file. Equal passages are one row with a count from the start, so a
+A passage is a line of a file that speaks of licences, a run of neighbouring
+lines (a wrapped header, comment marks stripped) that does, or the whole text of
+a licence file. Equal passages are one row with a count from the start, so a
 notice that is in every file costs no more than a rare one. Term weights are
 ``tf * (ln((1 + N) / (1 + df)) + 1)`` with N and df counted over the passages
 of all files. Only terms that a passage shares with a template are joined. A
@@ -40,6 +41,9 @@ CUE = r"(?i)licen[cs]e|copyright|spdx|public domain|redistribution|free software
 #: Fixed value: names of licence files.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 
+#: Fixed value: comment marks at the start of a line.
+MARKS = r"(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--+)"
+
 
 def _terms(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), r"[^a-z0-9.]+|\.(?=\s|$)|(?<=\s|^)\."), "")
@@ -49,6 +53,26 @@ def _directory(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
+def _runs(text: Column) -> Column:
+    """Runs of two and more lines that speak of licences, without comment marks.
+
+    Three readings: between blank lines; between lines that hold a comment
+    mark at most (a paragraph of a header); of lines with a mark (a header
+    that code follows at once).
+    """
+
+    def bare(x: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(x, rf"(?m)^[ \t]*+{MARKS}", ""), r"(?m)(?:\*+/|--+>)[ \t\r]*$", "")
+
+    def split(x: Column) -> Column:
+        return F.split(x, r"\n[ \t\r\n]*\n")
+
+    marked = F.regexp_replace(text, rf"(?m)^(?![ \t]*+{MARKS}).*$", "")
+    runs = F.concat(F.transform(split(text), bare), split(bare(text)), F.transform(split(marked), bare))
+    runs = F.filter(F.transform(runs, lambda x: F.regexp_replace(x, r"^\s++|\s++$", "")), lambda x: x.contains("\n"))
+    return F.array_distinct(F.filter(F.transform(runs, lambda x: F.regexp_replace(x, r"\s++", " ")), lambda x: x.rlike(CUE)))
+
+
 def _weights(passages: DataFrame, key: str, idf: DataFrame, none: Column) -> DataFrame:
     """(key, term, w) with vectors of length one; ``none``: the weight of terms without a count."""
     tf = passages.select(key, F.explode(_terms(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
@@ -74,6 +98,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", key_c
     rows = files.select(F.col(f"`{key_col or path_col}`").alias("key"), F.col(f"`{path_col}`").alias("path"), F.col(f"`{text_col}`").alias("text"))
     is_file = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILE), F.lit(False))
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(CUE))
+    lines = F.concat(lines, _runs(F.coalesce("text", F.lit(""))))
     found = rows.select("key", "path", is_file.alias("is_file"), F.explode(F.when(is_file & F.col("text").isNotNull(), F.concat(lines, F.array("text"))).otherwise(lines)).alias("text"))
     found = durable(found.groupBy("key", "path", "is_file", "text").agg(F.count("*").alias("n")))
 

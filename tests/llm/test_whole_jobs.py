@@ -59,3 +59,10 @@ def test_wrapped_headers(spark, start, mark, end):
     files.append(("none/a.c", body))
     got = {r["path"]: r["own_license"] for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
     assert got == {p: None if p == "none/a.c" else p.split("/")[0] for p, _ in files}
+
+
+def test_unlabelled_rows_stay(spark):
+    """Without a labelled row there is nothing to learn from, which is no reason to drop a text."""
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(["words of a text", "中文", "12 %", "", None])], DOCS)
+    got = corpus_pipeline.language_id(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in got) == [(0, None), (1, None)]

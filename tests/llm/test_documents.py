@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -334,6 +335,68 @@ def test_recursion_by_enumeration():
     assert all(np.allclose(a, b) for a, b in zip(counts, want))
 
 
+def test_score_by_enumeration(spark, docs):
+    """The whole score of short texts: all paths of states, and each word's share of its class."""
+    learn = docs.select("doc_id", "text")
+    counts = hmm.word_counts(learn).persist()
+    model = hmm.fit(learn, counts, states=2, rounds=1, sample_rounds=2)
+    texts = ["the of", "The zzyzx", "", "of qqqq the and", None]
+    seen = {}
+    for r in learn.collect():
+        for w in [*r["text"].encode().lower().split(), None]:
+            seen[w] = seen.get(w, 0) + 1
+    rank = sorted((w for w in seen if w is not None), key=lambda w: -seen[w])[: hmm.OWN]
+    assert len({seen[w] for w in (b"the", b"of")}) == 2 and seen[rank[-1]] < seen[b"the"]
+    flat = {w: hmm._words(pa.array([w.decode()]))[0] for w in [b"the", b"of", b"and", b"zzyzx", b"qqqq"]}
+    place = {w: int(model.places(h, model.table())[0]) for w, h in flat.items()}
+    got = {r["doc_id"]: r for r in hmm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, counts).collect()}
+    for i, text in enumerate(texts):
+        tokens = [*(text or "").encode().lower().split()]
+        numbers = [int(model.number[place[w]]) if place[w] >= 0 else int(hmm._by_tail(flat[w])[0]) for w in tokens] + [0]
+        paths = itertools.product(range(2), repeat=len(numbers))
+        whole = sum(model.start[p[0]] * np.prod([model.moves[a, b] for a, b in zip(p, p[1:])]) * np.prod([model.emit[q, o] for q, o in zip(p, numbers)]) for p in paths)
+        for w, n in zip(tokens, numbers):
+            if n > hmm.OWN:
+                alike = [v for v in seen if v is not None and v not in rank and v[-3:] == w[-3:]]
+                assert seen.get(w, 0) + 1 <= 10 ** model.share[n] and (not alike or 10 ** model.share[n] > len(alike))
+                whole *= (seen.get(w, 0) + 1) / 10 ** model.share[n]
+        assert np.isclose(got[i]["score"], np.log10(whole)) and got[i]["n_known"] == sum(w in seen for w in tokens) + 1
+
+
+def test_words_as_bytes():
+    """Whole batches at once are the words of each text alone, whatever the cuts."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aAb\u00e9 \t\n\x0b\u00a0 ") for _ in range(rng.randrange(12))) for _ in range(400)] + ["", "x" * 3_000_000 + " Y", " ", "y" + "X" * 3_000_000]
+    h, n = hmm._words(pa.array(texts).slice(3))
+    want = [t.encode().lower().split() for t in texts[3:]]
+    assert n.tolist() == [len(w) for w in want]
+    named = {}
+    for w, x in zip(itertools.chain(*want), h.tolist()):
+        assert named.setdefault(w, x) == x
+    assert len(set(named.values())) == len(named)
+
+
+def test_one_very_long_text(spark):
+    """Two million tokens in one text: the same score as by a plain recursion."""
+    rng = np.random.default_rng(6)
+    word = [f"w{i}" for i in range(50)]
+    text = " ".join(word[i] for i in rng.integers(0, 50, 2_000_000))
+    learn = spark.createDataFrame([(i, " ".join(word[j] for j in rng.integers(0, 50, 30))) for i in range(40)], "doc_id long, text string")
+    counts = hmm.word_counts(learn).persist()
+    model = hmm.fit(learn, counts, rounds=1, sample_rounds=1)
+    got = hmm.score(spark.createDataFrame([(99, text)], "doc_id long, text string"), model, counts).first()
+    assert got["n_tokens"] == got["n_known"] == 2_000_001
+    h, _ = hmm._words(pa.array([text]))
+    numbers = [*model.number[model.places(h, model.table())].tolist(), 0]
+    by_symbol, moves = model.emit.T.copy(), model.moves
+    alpha, total = model.start * by_symbol[numbers[0]], 0.0
+    for x in numbers[1:]:
+        s = alpha.sum()
+        total += np.log10(s)
+        alpha = (alpha / s) @ moves * by_symbol[x]
+    assert np.isclose(got["score"], total + np.log10(alpha.sum()), rtol=1e-9)
+
+
 def test_model_sums_to_one(spark):
     """Over all texts of up to one word, known words and one unknown per class, with the rest by the end's chance."""
     learn = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "b c", "c a b", ""])], "doc_id long, text string")

@@ -61,8 +61,10 @@ def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hmm.held_out(F.col("doc_id"))
     learn = docs.where(~out)
     counts = durable(hmm.word_counts(learn))
-    scored = hmm.score(docs, hmm.fit(learn, counts), counts)
-    return scored.withColumn("held_out", out)
+    model = hmm.vocabulary(counts)
+    coded = hmm.encode(docs, model)
+    model = hmm.fit(learn, counts, model=model, coded=coded.where(~hmm.held_out(F.col("id"))))
+    return hmm.score(docs, model, counts, coded=coded).withColumn("held_out", out)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

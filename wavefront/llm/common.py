@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,5 +60,40 @@ def with_row_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 ROW_KEY = [f"{HIDDEN}id", f"{HIDDEN}h"]
 
 
+#: A side of a join is broadcast up to so many rows and bytes of their text columns; both have been counted then.
+SMALL_ROWS, SMALL_BYTES = 200_000, 16 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, which is cheap to read, to be broadcast if it is small; beyond that Spark plans the join.
+
+    Array columns must not be in it.
+    """
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    size = F.coalesce(F.sum(sum(wide, F.lit(0).cast("long"))), F.lit(0))
+    n, total = df.agg(F.count("*"), size).first()
+    return F.broadcast(df) if n <= SMALL_ROWS and total <= SMALL_BYTES else df
+
+
+def offsets_of(column: pa.Array) -> np.ndarray:
+    """Where the rows of a string or binary column begin and end in its bytes."""
+    if not len(column):
+        return np.zeros(1, np.int64)
+    return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+
+
+def byte_slices(batch: pa.RecordBatch, at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts (column ``at``) have ``most`` bytes together, or one row.
+
+    What Python makes of a text is many times its size; so only a run at a time
+    is turned into Python objects.
+    """
+    ends, start = offsets_of(batch.column(at)), 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

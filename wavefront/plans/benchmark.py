@@ -102,18 +102,23 @@ def prepare(spark: SparkSession, settings: Settings, report: Report) -> tuple[Da
 
 
 def run(spark: SparkSession, settings: Settings) -> Report:
-    """Ends at the first root with an invalid result; goes on where a log ends."""
+    """Ends at the first root with an invalid result; goes on where a log ends.
+
+    A log of another scale, edge factor or number of workers raises
+    :class:`~wavefront.sources.runlog.OtherBenchmark` and stays as it is.
+    """
     report, spec = Report(settings), settings.spec
+    same = {"scale": spec.scale, "edge_factor": spec.edge_factor, "workers": settings.members}
+    if settings.log_folder and not runlog.read_header(spark, settings.log_folder).isEmpty():
+        runlog.open_log(spark, settings.log_folder, **same)  # before any work
     raw, adj = prepare(spark, settings, report)
-    same = {"scale": spec.scale, "edge_factor": spec.edge_factor}
     first = 0
     if settings.log_folder:
-        done = runlog.read_runs(spark, settings.log_folder)
-        first = runlog.next_run(done, runlog.read_header(spark, settings.log_folder), **same).first()[0]
-        if first:
-            report.runs = [tuple(r) for r in done.orderBy("run_id").collect()]  # one row for each root
         times = {f"{k}_time": v for k, v in report.seconds.items()}
-        runlog.write_header(spark, settings.log_folder, **same, workers=settings.members, num_runs=settings.roots, **times)
+        runlog.open_log(spark, settings.log_folder, **same, num_runs=settings.roots, **times)
+        done = runlog.read_runs(spark, settings.log_folder)
+        first = runlog.next_run(done).first()[0]
+        report.runs = [tuple(r) for r in done.orderBy("run_id").collect()]  # one row for each root
     roots = kronecker_roots(adj, spec, settings.roots)
     until = time.perf_counter() + settings.warm_up_s
     while time.perf_counter() < until:

@@ -41,7 +41,8 @@ def main(argv: list[str] | None = None) -> int:
     scale = a.scale
     while True:
         roots = a.roots or (ROOTS if a.full else TEST_ROOTS)
-        settings = Settings(EdgeSpec(scale, a.edgefactor, **profile), roots, a.direction, a.validation_level, a.members, a.log, a.spill)
+        log = f"{a.log}/scale{scale}" if a.log and a.increasing_scale else a.log
+        settings = Settings(EdgeSpec(scale, a.edgefactor, **profile), roots, a.direction, a.validation_level, a.members, log, a.spill)
         if a.print_plan:
             settings_df(spark, settings).show(100, False)
             return 0

@@ -20,6 +20,8 @@ from ..schema import RUN_HEADER, RUNS
 HEADER_FIELDS = "4i3d"
 RUN_FIELDS = "2dq"
 MOST_RUNS = 64
+#: What must agree for a run to go on where a log ends.
+SAME = ("scale", "edge_factor", "workers")
 
 
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -44,6 +46,23 @@ def write_header(spark: SparkSession, folder: str, **values: float) -> None:
     spark.createDataFrame([row], RUN_HEADER).write.mode("overwrite").parquet(f"{folder}/header")
 
 
+class OtherBenchmark(ValueError):
+    """The folder holds the log of a benchmark with other parameters."""
+
+
+def open_log(spark: SparkSession, folder: str, **values: float) -> None:
+    """Writes the header of a new log; refuses a log whose scale, edge factor or workers differ, or that has runs but no header."""
+    header = read_header(spark, folder).first()  # one row at most
+    if header is None:
+        if not read_runs(spark, folder).isEmpty():
+            raise OtherBenchmark(f"{folder} has runs but no header")
+        write_header(spark, folder, **values)
+        return
+    for name in SAME:
+        if header[name] != values.get(name):
+            raise OtherBenchmark(f"the log in {folder} is of {name} {header[name]}, this run of {values.get(name)}")
+
+
 def append_run(spark: SparkSession, folder: str, run_id: int, root: int, bfs_time: float, validate_time: float, edge_count: int) -> None:
     """Adds one file; what is there is never written again."""
     spark.createDataFrame([(run_id, root, bfs_time, validate_time, edge_count)], RUNS).coalesce(1).write.mode("append").parquet(f"{folder}/runs")

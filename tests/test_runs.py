@@ -67,6 +67,32 @@ def test_benchmark_and_resume(spark, tmp_path):
     assert {"median_time", "mean_nedge", "harmonic_mean_TEPS", "std_validate"} <= metrics
 
 
+def test_logs_of_other_benchmarks(spark, tmp_path):
+    """Scale 5, then 6 into the same folder, is refused and changes nothing; scale 5 goes on with all its own roots."""
+    folder = str(tmp_path / "log")
+    first = benchmark.run(spark, benchmark.Settings(EdgeSpec(5), roots=2, log_folder=folder))
+    for other in (benchmark.Settings(EdgeSpec(6), roots=2, log_folder=folder), benchmark.Settings(EdgeSpec(5, 8), roots=2, log_folder=folder), benchmark.Settings(EdgeSpec(5), roots=2, members=6, log_folder=folder)):
+        with pytest.raises(runlog.OtherBenchmark):
+            benchmark.run(spark, other)
+    again = benchmark.run(spark, benchmark.Settings(EdgeSpec(5), roots=4, log_folder=folder))
+    assert [r[0] for r in again.runs] == [0, 1, 2, 3] and again.runs[:2] == first.runs
+    assert {r["edge_count"] for r in runlog.read_runs(spark, folder).collect()} == {512} and runlog.read_header(spark, folder).count() == 1
+    runlog.append_run(spark, str(tmp_path / "bare"), 0, 1, 1.0, 1.0, 5)
+    with pytest.raises(runlog.OtherBenchmark):
+        benchmark.run(spark, benchmark.Settings(EdgeSpec(5), roots=1, log_folder=str(tmp_path / "bare")))
+
+
+def test_blocked_bounds():
+    assert [codec.blocked_bounds([0, 10, 14], 3, p) for p in range(6)] == [(0, 4), (4, 8), (8, 10), (10, 12), (12, 14), (14, 14)]
+
+
+def test_varint_columns(spark):
+    lists = [[], [0, 1, 127, 128], None, [-1, 1 << 62], [300] * 5]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<long>").coalesce(1)
+    rows = df.select("i", codec.varint_bytes("x").alias("b")).select("i", "b", codec.varint_values("b").alias("x")).orderBy("i").collect()
+    assert [r["x"] for r in rows] == lists and bytes(rows[4]["b"]) == b"\xac\x02" * 5
+
+
 def test_command_line(spark, capsys):
     assert cli.main(["--scale", "5", "--print-plan"]) == 0
     assert "edge_factor" in capsys.readouterr().out

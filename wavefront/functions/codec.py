@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,37 +144,91 @@ def delta(v: Column, before: Column) -> Column:
     return zigzag(v - F.coalesce(before, F.lit(0)))
 
 
+def varint_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values together, and how many bytes each takes.
+
+    Seven bits a byte, the lowest first; the high bit says that more follow.
+    """
+    v = values.astype(np.int64).view(np.uint64)
+    sizes = np.ones(len(v), np.int64)
+    for k in range(1, 10):
+        sizes += v >= np.uint64(1 << 7 * k)
+    starts = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.uint8)
+    for k in range(10):
+        has = sizes > k
+        if not has.any():
+            break
+        low = (v[has] >> np.uint64(7 * k)) & np.uint64(0x7F)
+        out[starts[has] + k] = low.astype(np.uint8) | np.where(sizes[has] > k + 1, 0x80, 0).astype(np.uint8)
+    return out, sizes
+
+
+def varint_unblock(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of some bytes, and where each one's bytes end."""
+    ends = np.flatnonzero(data < 0x80) + 1
+    if not len(ends):
+        return np.empty(0, np.int64), ends
+    starts = np.concatenate([[0], ends[:-1]])
+    shift = np.arange(int(ends[-1])) - np.repeat(starts, ends - starts)
+    bits = (data[: ends[-1]] & 0x7F).astype(np.uint64) << (7 * shift).astype(np.uint64)
+    return np.bitwise_or.reduceat(bits, starts).view(np.int64), ends
+
+
 def encode_varint(values: list[int]) -> bytes:
-    """Seven bits a byte, the lowest first; the high bit says that more follow."""
-    out = bytearray()
-    for v in values:
-        v &= (1 << 64) - 1
-        while v > 0x7F:
-            out.append(v & 0x7F | 0x80)
-            v >>= 7
-        out.append(v)
-    return bytes(out)
+    return varint_block(np.array(values, np.int64))[0].tobytes()
 
 
 def decode_varint(data: bytes) -> list[int]:
-    out, value, shift = [], 0, 0
-    for byte in data:
-        value |= (byte & 0x7F) << shift
-        shift += 7
-        if byte < 0x80:
-            out.append(value - (1 << 64) if value >> 63 else value)
-            value, shift = 0, 0
-    return out
+    return varint_unblock(np.frombuffer(data, np.uint8))[0].tolist()
+
+
+def _with_nulls(found: list, given: pd.Series) -> pd.Series:
+    rest = iter(found)
+    return pd.Series([next(rest) if there else None for there in given.notna()], dtype=object)
 
 
 @F.pandas_udf(T.BinaryType())
 def varint_bytes(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda x: None if x is None else encode_varint([int(v) for v in x]))
+    """The values of a whole batch are coded at once; a null list gives null."""
+    there = lists[lists.notna()]
+    lengths = there.map(len).to_numpy(np.int64)
+    data, sizes = varint_block(np.concatenate([np.empty(0, np.int64), *there]))
+    cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)]
+    whole = data.tobytes()
+    return _with_nulls([whole[a:b] for a, b in zip(cuts, cuts[1:])], lists)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def varint_values(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else decode_varint(x))
+    there = data[data.notna()]
+    values, ends = varint_unblock(np.frombuffer(b"".join(there), np.uint8))
+    cuts = np.searchsorted(ends, np.concatenate([[0], np.cumsum(there.map(len).to_numpy(np.int64))]), "right")
+    return _with_nulls([values[a:b] for a, b in zip(cuts, cuts[1:])], data)
+
+
+def delta_stream(sets: DataFrame, key: str = "bucket", column: str = "vertex") -> DataFrame:
+    """(key, n, stream) of sets of ids: sorted, as differences, in VarInt bytes."""
+    gaps = F.col(column) - F.coalesce(F.lag(column).over(Window.partitionBy(key).orderBy(column)), F.lit(0))
+    rows = sets.select(key, column, zigzag(gaps).alias("gap"))
+    lists = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(column, "gap"))), lambda x: x["gap"]).alias("gaps"))
+    return lists.select(key, F.size("gaps").cast("long").alias("n"), varint_bytes("gaps").alias("stream"))
+
+
+def stream_members(streams: DataFrame, key: str = "bucket", column: str = "vertex") -> DataFrame:
+    """The ids of :func:`delta_stream`."""
+    rows = streams.select(key, F.posexplode(varint_values("stream")).alias("at", "gap"))
+    return rows.select(key, F.sum(unzigzag(F.col("gap"))).over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).alias(column))
+
+
+def edge_weight(edge: Column, bits: int) -> Column:
+    """The weight in the low bits of an edge entry."""
+    return edge.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+
+def edge_target(edge: Column, bits: int) -> Column:
+    """The vertex above the weight of an edge entry."""
+    return F.shiftright(edge, bits)
 
 
 def reverse_bits_text(v: Column) -> Column:
@@ -193,6 +248,13 @@ def partition_bounds(size: int, parts: int, part: int) -> tuple[int, int]:
     return begin, min(begin + share, size)
 
 
+def blocked_bounds(offsets: list[int], per_block: int, part: int) -> tuple[int, int]:
+    """As :func:`partition_bounds` within blocks that begin at ``offsets`` (the last is the end), ``per_block`` parts each."""
+    block, inner = divmod(part, per_block)
+    begin, end = partition_bounds(offsets[block + 1] - offsets[block], per_block, inner)
+    return offsets[block] + begin, offsets[block] + end
+
+
 def aligned_bounds(keys: list[int], shift: int, parts: int, part: int) -> tuple[int, int]:
     """As :func:`partition_bounds` over sorted keys, moved on to where the high bits change."""
 

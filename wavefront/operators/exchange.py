@@ -34,6 +34,44 @@ def edge_owner(v0: Column, v1: Column, rows: int, columns: int) -> Column:
     return owner_row(v0, rows) + owner_column(v1, rows, columns) * rows
 
 
+def to_destination(v: Column, rows: int, columns: int, bits: int) -> Column:
+    """The id by which a column of the grid names a vertex: the owner's row, and the number within the owner."""
+    return F.shiftleft(owner_row(v, rows), bits).bitwiseOR(vertex_local(v, rows, columns))
+
+
+def to_source(v: Column, rows: int, columns: int, bits: int) -> Column:
+    """The id by which a row of the grid names a vertex: the owner's column, and the number within the owner."""
+    return F.shiftleft(owner_column(v, rows, columns), bits).bitwiseOR(vertex_local(v, rows, columns))
+
+
+def _low(s: Column, bits: int) -> Column:
+    return s.bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def from_destination(d: Column, column: Column, rows: int, columns: int, bits: int) -> Column:
+    """The vertex of a destination id in a column of the grid."""
+    return _low(d, bits) * (rows * columns) + F.shiftright(d, bits) + column * rows
+
+
+def from_source(s: Column, row: Column, rows: int, columns: int, bits: int) -> Column:
+    """The vertex of a source id in a row of the grid."""
+    return _low(s, bits) * (rows * columns) + row + F.shiftright(s, bits) * rows
+
+
+def source_to_destination(s: Column, row: Column, bits: int) -> Column:
+    return F.shiftleft(row.cast("long"), bits).bitwiseOR(_low(s, bits))
+
+
+def destination_to_source(d: Column, column: Column, bits: int) -> Column:
+    return F.shiftleft(column.cast("long"), bits).bitwiseOR(_low(d, bits))
+
+
+def largest_part(frontier: DataFrame, members: int) -> DataFrame:
+    """One row: the vertices of a frontier, and the most that one member owns."""
+    owned = frontier.groupBy(F.pmod("vertex", F.lit(members)).alias("owner")).agg(F.count("*").alias("n"))
+    return owned.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+
+
 def redistribute(edges: DataFrame, rows: int, columns: int) -> DataFrame:
     """Edges dealt out by their place on the grid; a weight column goes along."""
     return edges.withColumn("owner", edge_owner(F.col("v0"), F.col("v1"), rows, columns)).repartition(rows * columns, "owner")

@@ -92,16 +92,43 @@ def lists_of(vertex: Column, members: int) -> Column:
     return F.pmod(vertex, F.lit(members))
 
 
+def dense_numbers(df: DataFrame, part: str, order: list[Column | str], name: str) -> DataFrame:
+    """``df`` with a number from 0 without gaps in each ``part``, in the order of ``order`` (unique there).
+
+    Rows are dealt out by ranges of part and order, so any number of tasks
+    shares a part; each numbers its own rows, and only the tasks' counts are
+    summed in order.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = durable(df.repartitionByRange(parts, part, *order).withColumn("pid_", F.spark_partition_id()))
+    counts = dealt.groupBy(part, "pid_").agg(F.count("*").alias("n_"))
+    before = Window.partitionBy(part).orderBy("pid_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(part, "pid_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"))
+    own = F.row_number().over(Window.partitionBy(part, "pid_").orderBy(*order))
+    return dealt.withColumn(name, own).join(starts, [part, "pid_"]).withColumn(name, (F.col("base_") + F.col(name) - 1).cast("long")).drop("pid_", "base_")
+
+
 def reorder_by_degree(edges: DataFrame, members: int) -> DataFrame:
     """New dense ids within each of ``members`` parts, by falling degree and then id."""
-    order = Window.partitionBy("part").orderBy(F.desc("degree"), "vertex")
-    return degrees(edges).withColumn("part", lists_of(F.col("vertex"), members)).select("vertex", "part", (F.row_number().over(order) - 1).cast("long").alias("new_id"))
+    rows = degrees(edges).withColumn("part", lists_of(F.col("vertex"), members))
+    return dense_numbers(rows, "part", [F.desc("degree"), "vertex"], "new_id").select("vertex", "part", "new_id")
 
 
 def reorder_nonzero(edges: DataFrame, members: int) -> DataFrame:
     """New dense ids within each part for vertices with an edge, in the order of ids."""
-    order = Window.partitionBy("part").orderBy("vertex")
-    return vertices(edges).withColumn("part", lists_of(F.col("vertex"), members)).select("vertex", "part", (F.row_number().over(order) - 1).cast("long").alias("new_id"))
+    rows = vertices(edges).withColumn("part", lists_of(F.col("vertex"), members))
+    return dense_numbers(rows, "part", ["vertex"], "new_id").select("vertex", "part", "new_id")
+
+
+def reorder_identity(edges: DataFrame, members: int) -> DataFrame:
+    """Each vertex with an edge under its own number within its part."""
+    part = lists_of(F.col("vertex"), members)
+    return vertices(edges).select("vertex", part.alias("part"), F.floor(F.col("vertex") / members).cast("long").alias("new_id"))
+
+
+def inverse_map(reordered: DataFrame) -> DataFrame:
+    """From a part's new id back to the vertex."""
+    return reordered.select("part", "new_id", "vertex")
 
 
 def max_local_vertices(reordered: DataFrame) -> DataFrame:

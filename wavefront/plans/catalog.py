@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,20 @@ def on_edges(name: str, table: str, sql: str | None, f: Callable[[DataFrame], Da
     query(name, sql and f"WITH {_with(table)} {sql}")(lambda spark, folder: f(edges_from_tables(spark, folder, table)))
 
 
+def _buckets(edges: DataFrame) -> DataFrame:
+    return graph.vertices(edges).select(F.floor(F.col("vertex") / 4096).cast("long").alias("bucket"), "vertex")
+
+
+def _grid_ids(vertices: DataFrame) -> DataFrame:
+    """Both ids of each vertex on the grid, with 24 bits for the local number, and the ways between them."""
+    v, row, column = F.col("vertex"), exchange.owner_row(F.col("vertex"), ROWS), exchange.owner_column(F.col("vertex"), ROWS, COLUMNS)
+    ids = vertices.select("vertex", exchange.to_destination(v, ROWS, COLUMNS, 24).alias("d"), exchange.to_source(v, ROWS, COLUMNS, 24).alias("s"))
+    return ids.select(
+        "vertex", "d", "s", exchange.from_destination(F.col("d"), column, ROWS, COLUMNS, 24).alias("from_d"), exchange.from_source(F.col("s"), row, ROWS, COLUMNS, 24).alias("from_s"),
+        exchange.source_to_destination(F.col("s"), row, 24).alias("s_to_d"), exchange.destination_to_source(F.col("d"), column, 24).alias("d_to_s"),
+    )
+
+
 # construction
 
 on_edges("edge_scan", "G1", "SELECT v0, v1 FROM e", lambda e: e)
@@ -83,6 +98,10 @@ on_edges("reorder_by_degree", "G1", "SELECT vertex, vertex % 4 AS part, row_numb
          lambda e: graph.reorder_by_degree(e, 4).select("vertex", F.col("part").cast("long").alias("part"), "new_id"))
 on_edges("reorder_nonzero", "G1", "SELECT vertex, vertex % 4 AS part, row_number() OVER (PARTITION BY vertex % 4 ORDER BY vertex) - 1 AS new_id FROM vertices",
          lambda e: graph.reorder_nonzero(e, 4).select("vertex", F.col("part").cast("long").alias("part"), "new_id"))
+on_edges("reorder_inverse", "G1", "SELECT vertex % 4 AS part, row_number() OVER (PARTITION BY vertex % 4 ORDER BY degree DESC, vertex) - 1 AS new_id, vertex FROM (SELECT src AS vertex, count(*) AS degree FROM sym GROUP BY src)",
+         lambda e: graph.inverse_map(graph.reorder_by_degree(e, 4)).select(F.col("part").cast("long").alias("part"), "new_id", "vertex"))
+on_edges("reorder_identity", "G1", "SELECT vertex, vertex % 4 AS part, vertex // 4 AS new_id FROM vertices",
+         lambda e: graph.reorder_identity(e, 4).select("vertex", F.col("part").cast("long").alias("part"), "new_id"))
 on_edges("max_local_vertices", "G1", "SELECT max(n) AS n FROM (SELECT count(*) AS n FROM vertices GROUP BY vertex % 4)", lambda e: graph.max_local_vertices(graph.reorder_nonzero(e, 4)))
 on_edges("relabel_edges", "G3", "SELECT s.r AS src, d.r AS dst FROM adj JOIN (SELECT vertex, row_number() OVER (ORDER BY vertex) - 1 AS r FROM vertices) s ON src = s.vertex JOIN (SELECT vertex, row_number() OVER (ORDER BY vertex) - 1 AS r FROM vertices) d ON dst = d.vertex",
          lambda e: graph.relabel(graph.adjacency(e), graph.reorder_nonzero(e, 1)))
@@ -125,6 +144,17 @@ on_edges("edge_partition_sizes", "G1", f"SELECT owner, n, round((n - m) / m * 10
 on_edges("edge_redistribution", "G1", f"SELECT v0, v1, v0 % {ROWS} + ((v1 // {ROWS}) % {COLUMNS}) * {ROWS} AS owner FROM e", lambda e: exchange.redistribute(e, ROWS, COLUMNS).withColumn("owner", F.col("owner").cast("long")))
 on_edges("swizzle_roundtrip", "G1", "SELECT vertex, ((vertex % 6) << 32) | (vertex // 6) AS swizzled, vertex AS back FROM vertices",
          lambda e: graph.vertices(e).select("vertex", exchange.swizzle(F.col("vertex"), 6, 32).alias("swizzled")).withColumn("back", exchange.unswizzle(F.col("swizzled"), 6, 32)))
+on_edges("grid_ids", "G1", f"""SELECT vertex, ((vertex % {ROWS}) << 24) | (vertex // {ROWS * COLUMNS}) AS d, (((vertex // {ROWS}) % {COLUMNS}) << 24) | (vertex // {ROWS * COLUMNS}) AS s, vertex AS from_d, vertex AS from_s,
+  ((vertex % {ROWS}) << 24) | (vertex // {ROWS * COLUMNS}) AS s_to_d, (((vertex // {ROWS}) % {COLUMNS}) << 24) | (vertex // {ROWS * COLUMNS}) AS d_to_s FROM vertices""",
+         lambda e: _grid_ids(graph.vertices(e)))
+on_edges("delta_stream_sizes", "G1", "SELECT bucket, count(*) AS n, CAST(sum(CASE WHEN gap < 64 THEN 1 WHEN gap < 8192 THEN 2 WHEN gap < 1048576 THEN 3 ELSE 4 END) AS BIGINT) AS bytes FROM (SELECT vertex // 4096 AS bucket, vertex - coalesce(lag(vertex) OVER (PARTITION BY vertex // 4096 ORDER BY vertex), 0) AS gap FROM vertices) GROUP BY bucket",
+         lambda e: codec.delta_stream(_buckets(e)).select("bucket", "n", F.octet_length("stream").cast("long").alias("bytes")))
+on_edges("delta_stream_roundtrip", "G1", "SELECT vertex // 4096 AS bucket, vertex FROM vertices", lambda e: codec.stream_members(codec.delta_stream(_buckets(e))))
+on_edges("edge_weights", "G1", "SELECT v0, v1 % 128 AS weight, v0 AS target FROM e",
+         lambda e: e.select("v0", F.shiftleft("v0", 7).bitwiseOR(F.col("v1") % 128).alias("x")).select("v0", codec.edge_weight(F.col("x"), 7).cast("long").alias("weight"), codec.edge_target(F.col("x"), 7).alias("target")))
+on_edges("lowest_bit", "G1", "SELECT vertex, CAST(bit_count((vertex & -vertex) - 1) AS INTEGER) AS lowest FROM vertices WHERE vertex > 0",
+         lambda e: graph.vertices(e).where("vertex > 0").select("vertex", codec.lowest_bit(F.col("vertex")).cast("int").alias("lowest")))
+on_edges("round_up_power", "G1", "SELECT vertex, CAST(pow(2, ceil(log2(vertex))) AS BIGINT) AS up FROM vertices WHERE vertex > 0", lambda e: graph.vertices(e).where("vertex > 0").select("vertex", codec.round_up_power(F.col("vertex")).alias("up")))
 on_edges("separated_id", "G1", "SELECT v0, v1, (v0 << 20) | v1 AS packed, v0 * 1000003 + v1 AS compact, (v0 << 20) | 7 AS swapped FROM e",
          lambda e: e.select("v0", "v1", codec.pack_separated(F.col("v0"), F.col("v1"), 20).alias("packed")).select("v0", "v1", "packed", codec.compact_separated(F.col("packed"), 20, 1000003).alias("compact"), codec.swap_low(F.col("packed"), 20, F.lit(7)).alias("swapped")))
 on_edges("packed_edges", "G1", "SELECT v0, v1, v0 & 4294967295 AS low0, v1 & 4294967295 AS low1, v0 AS back0, v1 AS back1 FROM e",
@@ -185,12 +215,45 @@ def bfs_relaxed_edges(spark: SparkSession, folder: str) -> DataFrame:
     return search.levels_df(spark).where("relaxed > 0").select("level", "relaxed")
 
 
-@query("bfs_direction_trace")
+LEVELS_SQL = """, n AS (SELECT count(*) AS n FROM vertices), cnt AS (SELECT depth, count(*) AS nq FROM reach GROUP BY depth),
+lv AS (SELECT l AS level, coalesce(nq, 0) AS nq FROM (SELECT unnest(range(1, (SELECT max(depth) + 2 FROM reach))) AS l) LEFT JOIN cnt ON depth = l)"""
+
+#: The rule as a chain of states: an eighth for the way back, a two-thousandth for the way there.
+TRACE_SQL = f"""{_tree('G1')}{LEVELS_SQL},
+run(level, fwd, growing, last, visited) AS (SELECT CAST(1 AS BIGINT), true, true, CAST(0 AS BIGINT), CAST(1 AS BIGINT)
+  UNION ALL SELECT r.level + 1,
+    CASE WHEN r.growing AND v.nq > r.last THEN r.fwd AND NOT v.nq > n / 2000.0 WHEN NOT r.fwd AND n - r.visited - v.nq < n // 8 THEN true ELSE r.fwd END,
+    CASE WHEN r.growing AND v.nq > r.last THEN r.growing WHEN NOT r.fwd AND n - r.visited - v.nq < n // 8 THEN false ELSE r.growing END, v.nq, r.visited + v.nq
+  FROM run r JOIN lv v ON v.level = r.level, n)
+SELECT CAST(r.level AS INTEGER) AS level, CASE WHEN fwd THEN 'top_down' ELSE 'bottom_up' END AS direction, nq, CAST(r.visited + nq AS BIGINT) AS visited, CAST(n - r.visited - nq AS BIGINT) AS unvisited
+FROM run r JOIN lv v ON v.level = r.level, n"""
+
+
+@query("bfs_direction_trace", TRACE_SQL)
 def bfs_direction_trace(spark: SparkSession, folder: str) -> DataFrame:
     _, adj, root = _graph(spark, folder, "G1")
     return traverse.bfs(adj, root).levels_df(spark).select("level", "direction", "nq", "visited", "unvisited")
 
 
+@query("bfs_level_rates", f"""{_tree('G1')}{LEVELS_SQL}, m AS (SELECT count(*) AS m FROM adj), rx AS (SELECT t.depth + 1 AS level, count(*) AS relaxed FROM reach t JOIN adj ON src = t.vertex GROUP BY t.depth)
+SELECT CAST(v.level AS INTEGER) AS level, round(nq * 100.0 / n, 9) AS nq_rate, round((n - 1 - sum(nq) OVER (ORDER BY v.level)) * 100.0 / n, 9) AS unvisited_rate, round(relaxed * 100.0 / m, 9) AS relax_rate FROM lv v JOIN rx ON rx.level = v.level, n, m""")
+def bfs_level_rates(spark: SparkSession, folder: str) -> DataFrame:
+    _, adj, root = _graph(spark, folder, "G1")
+    search = traverse.bfs(adj, root, "top_down", count_relaxed=True)
+    rates = stats.level_rates(search.levels_df(spark), adj.select("src").distinct().count(), adj.count())
+    return rates.select("level", *[F.round(c, 9).alias(c) for c in ("nq_rate", "unvisited_rate", "relax_rate")])
+
+
+@query("frontier_sizes", f"{_tree('G1')} SELECT depth AS level, CAST(sum(n) AS BIGINT) AS n, max(n) AS largest FROM (SELECT CAST(depth AS INTEGER) AS depth, vertex % {ROWS * COLUMNS} AS owner, count(*) AS n FROM reach GROUP BY ALL) GROUP BY depth")
+def frontier_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Vertices of each level, and the most that one member of the grid owns."""
+    _, adj, root = _graph(spark, folder, "G1")
+    tree = traverse.bfs(adj, root).tree
+    depths = [r[0] for r in tree.select("depth").distinct().collect()]  # one for each level
+    parts = [exchange.largest_part(tree.where(F.col("depth") == d), ROWS * COLUMNS).select(F.lit(d).cast("int").alias("level"), "n", "largest") for d in depths]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("reachable", f"{_tree('G1')} SELECT vertex FROM reach")
 def reachable(spark: SparkSession, folder: str) -> DataFrame:
     _, adj, root = _graph(spark, folder, "G1")
@@ -307,6 +370,21 @@ for _name, _change in CORRUPT.items():
     query(f"validate_{_name}", f"{_tree('G1')}{_sql}")(_validation(_change))
 
 
+@query(
+    "validate_root_out_of_range",
+    f"""{_tree('G1')}, b AS (SELECT max(src) + 7 AS b FROM adj), ed AS (SELECT x.depth AS d0, y.depth AS d1 FROM e LEFT JOIN tree x ON v0 = x.vertex LEFT JOIN tree y ON v1 = y.vertex)
+SELECT 'root_range' AS "check", CASE WHEN b < 0 OR b > (SELECT max(src) FROM adj) THEN 1 ELSE 0 END AS violations FROM b
+UNION ALL SELECT 'root_parent', CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM tree, b WHERE vertex = b AND parent = b
+UNION ALL SELECT 'self_parent', count(*) FROM tree, b WHERE vertex = parent AND vertex <> b
+UNION ALL SELECT 'edge_leaves_tree', count(*) FROM ed WHERE (d0 IS NULL) <> (d1 IS NULL)""",
+)
+def validate_root_out_of_range(spark: SparkSession, folder: str) -> DataFrame:
+    """A good tree, read as that of a root beyond all vertices: root range and root parent fail, and the true root is its own parent."""
+    raw, adj, root = _graph(spark, folder, "G1")
+    n = adj.agg(F.max("src")).first()[0] + 1
+    return checks.violations(raw, traverse.bfs(adj, root).tree, n + 6, n).where("check IN ('root_range', 'root_parent', 'self_parent', 'edge_leaves_tree')")
+
+
 @query("edge_visit_count", f"{_tree('G1')} SELECT count(*) AS n FROM e WHERE v0 IN (SELECT vertex FROM reach) AND v1 IN (SELECT vertex FROM reach)")
 def edge_visit_count(spark: SparkSession, folder: str) -> DataFrame:
     raw, adj, root = _graph(spark, folder, "G1")
@@ -379,6 +457,13 @@ def top8_slowest(spark: SparkSession, folder: str) -> DataFrame:
     return stats.slowest(lines.groupBy((F.col("l_suppkey") % 32).cast("int").alias("process")).agg(F.count("*").alias("progress")))
 
 
+@query("runlog_match", f"WITH {RUNS_SQL} SELECT CAST(r_regionkey AS INTEGER) AS scale, CASE WHEN r_regionkey = 2 THEN (SELECT CAST(max(run_id) + 1 AS INTEGER) FROM runs) ELSE 0 END AS next_run FROM region")
+def runlog_match(spark: SparkSession, folder: str) -> DataFrame:
+    """Where runs of several scales go on after a log whose header says scale 2."""
+    runs, header = _runs(spark, folder), spark.createDataFrame([(2, 16, 4)], "scale int, edge_factor int, workers int")
+    return reduce(DataFrame.unionByName, [runlog.next_run(runs, header, scale=s, edge_factor=16, workers=4).select(F.lit(s).alias("scale"), "next_run") for s in range(5)])
+
+
 @query("runlog_resume", f"WITH {RUNS_SQL} SELECT CAST(max(run_id) + 1 AS INTEGER) AS next_run FROM runs")
 def runlog_resume(spark: SparkSession, folder: str) -> DataFrame:
     return runlog.next_run(_runs(spark, folder))

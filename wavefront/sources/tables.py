@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import durable
 from ..schema import EDGES
 
 
@@ -41,7 +42,7 @@ def user_sequence(spark: SparkSession, folder: str) -> DataFrame:
     """
     events = _table(spark, folder, "events").select("ts", "event_id", F.col("user_id").cast("long").alias("user_id"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = events.repartitionByRange(parts, "ts", "event_id").withColumn("pid", F.spark_partition_id())
+    dealt = durable(events.repartitionByRange(parts, "ts", "event_id").withColumn("pid", F.spark_partition_id()))  # read twice, with the same ranges
     ordered = Window.partitionBy("pid").orderBy("ts", "event_id")
     rows = dealt.withColumn("next_user", F.lead("user_id").over(ordered)).withColumn("place", F.row_number().over(ordered))
     inside = rows.where("next_user IS NOT NULL").select(F.col("user_id").alias("v0"), F.col("next_user").alias("v1"))

@@ -134,3 +134,16 @@ def test_bitmaps(spark):
     back = graph.bitmap_members(graph.bitmap(ids)).orderBy("vertex")
     assert [r["vertex"] for r in back.collect()] == [0, 1, 7, 8, 32767, 32768, 100000]
     assert back.where(F.col("vertex") < 0).isEmpty()
+
+def test_large_rows_apart(spark):
+    """A hub with a third of all edges: its edges lie in many tasks, and searches agree with those over a plain table."""
+    edges = spark.createDataFrame([(0, i) for i in range(1, 400)] + [(i, 400 + i % 20) for i in range(100)] + [(420, 400), (901, 902)], "v0 long, v1 long")
+    adj = graph.adjacency(edges).persist()
+    kept = traverse.layout(adj, large=100)
+    assert kept.n_hubs == 1 and kept.large.select("src").distinct().count() == 1 and kept.edges.count() == adj.count()
+    assert max(len(p) for p in kept.large.rdd.glom().collect()) < 300
+    for direction in ("top_down", "bottom_up", "hybrid"):
+        one, two = traverse.bfs(kept, 3, direction), traverse.bfs(adj, 3, direction)
+        assert sorted(map(tuple, one.tree.collect())) == sorted(map(tuple, two.tree.collect())) and one.levels == two.levels
+    assert sorted(map(tuple, traverse.bfs_many(kept, [3, 901]).collect())) == sorted(map(tuple, traverse.bfs_many(adj, [3, 901]).collect()))
+    kept.unpersist()

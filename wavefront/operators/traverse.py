@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from ..schema import LEVELS, TREE
 # Fixed values of the direction rule.
 ALPHA = 2000
 BETA = 8
+# Fixed value: neighbours of a large row.
+LARGE_ROW = 2000
 #: A side of a join is broadcast up to so many rows; its rows have been counted then.
 BROADCAST_ROWS = 100_000
 #: Levels after which the levels so far become one table. Every level is written
@@ -52,12 +55,67 @@ def _side(df: DataFrame, rows: int | None) -> DataFrame:
     return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
 
 
-def expand(adj: DataFrame, frontier: DataFrame, rows: int | None = None) -> DataFrame:
+@dataclass
+class Layout:
+    """An adjacency kept for many levels: small rows dealt out by source, so that a level
+    needn't move them, and the edges of large rows dealt out one by one.
+
+    ``hubs``: the sources of large rows, ``n_hubs`` of them.
+    """
+
+    small: DataFrame
+    large: DataFrame | None
+    hubs: DataFrame | None
+    n_hubs: int
+
+    def join(self, side: DataFrame, rows: int | None, how: str = "inner") -> DataFrame:
+        """The edges joined with ``side`` (src and maybe more columns), which has so many rows."""
+        out = self.small.join(_side(side, rows), "src", how)
+        if self.large is None:
+            return out
+        few = side.join(_side(self.hubs, self.n_hubs), "src", "left_semi")
+        known = self.n_hubs if how == "left_anti" or rows is None else min(rows, self.n_hubs)
+        return out.unionByName(self.large.join(_side(few, known), "src", how))
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.small if self.large is None else self.small.unionByName(self.large)
+
+    def unpersist(self) -> None:
+        for kept in (self.small, self.large, self.hubs):
+            if kept is not None:
+                kept.unpersist()
+
+
+def layout(adj: DataFrame, large: int = LARGE_ROW) -> Layout:
+    """``adj``, kept, with the rows of ``large`` neighbours and more apart."""
+    adj = adj.persist(StorageLevel.MEMORY_AND_DISK)
+    hubs = adj.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= large).select("src").persist(StorageLevel.MEMORY_AND_DISK)
+    n = hubs.count()
+    if not n:
+        hubs.unpersist()
+        small = adj.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+        small.count()
+        adj.unpersist()
+        return Layout(small, None, None, 0)
+    side = _side(hubs, n)
+    small = adj.join(side, "src", "left_anti").repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+    big = adj.join(side, "src", "left_semi").repartition("src", "dst").persist(StorageLevel.MEMORY_AND_DISK)
+    small.count(), big.count()
+    adj.unpersist()
+    return Layout(small, big, hubs, n)
+
+
+def _joined(adj: DataFrame | Layout, side: DataFrame, rows: int | None, how: str = "inner") -> DataFrame:
+    return adj.join(side, rows, how) if isinstance(adj, Layout) else adj.join(_side(side, rows), "src", how)
+
+
+def expand(adj: DataFrame | Layout, frontier: DataFrame, rows: int | None = None) -> DataFrame:
     """(parent, child) for every edge out of the frontier."""
-    return adj.join(_side(frontier.select(F.col("vertex").alias("src")), rows), "src").select(F.col("src").alias("parent"), F.col("dst").alias("child"))
+    return _joined(adj, frontier.select(F.col("vertex").alias("src")), rows).select(F.col("src").alias("parent"), F.col("dst").alias("child"))
 
 
-def top_down_step(adj: DataFrame, frontier: DataFrame, visited: DataFrame, rows: int | None = None, seen: int | None = None) -> DataFrame:
+def top_down_step(adj: DataFrame | Layout, frontier: DataFrame, visited: DataFrame, rows: int | None = None, seen: int | None = None) -> DataFrame:
     """(vertex, parent) of what the frontier reaches and was not visited."""
     found = expand(adj, frontier, rows).groupBy(F.col("child").alias("vertex")).agg(F.min("parent").alias("parent"))
     return found.join(_side(visited.select("vertex"), seen), "vertex", "left_anti")
@@ -67,10 +125,10 @@ def unvisited(vertices: DataFrame, visited: DataFrame) -> DataFrame:
     return vertices.join(visited.select("vertex"), "vertex", "left_anti")
 
 
-def bottom_up_step(adj: DataFrame, frontier: DataFrame, visited: DataFrame, rows: int | None = None, seen: int | None = None) -> DataFrame:
+def bottom_up_step(adj: DataFrame | Layout, frontier: DataFrame, visited: DataFrame, rows: int | None = None, seen: int | None = None) -> DataFrame:
     """The same, seen from the vertices that were not visited: each looks for the least
     neighbour in the frontier. Edges of visited vertices leave before the second join."""
-    left = adj.join(_side(visited.select(F.col("vertex").alias("src")), seen), "src", "left_anti")
+    left = _joined(adj, visited.select(F.col("vertex").alias("src")), seen, "left_anti")
     near = left.join(_side(frontier.select(F.col("vertex").alias("dst")), rows), "dst")
     return near.groupBy(F.col("src").alias("vertex")).agg(F.min("dst").alias("parent"))
 
@@ -94,16 +152,17 @@ class Search:
         return spark.createDataFrame([tuple(level[f.name] for f in LEVELS) for level in self.levels], LEVELS)
 
 
-def bfs(adj: DataFrame, root: int, direction: str = "hybrid", vertices: int | None = None, count_relaxed: bool = False) -> Search:
+def bfs(adj: DataFrame | Layout, root: int, direction: str = "hybrid", vertices: int | None = None, count_relaxed: bool = False) -> Search:
     """The search from one root; ``direction`` is hybrid, top_down or bottom_up.
 
     ``adj`` is symmetric and read once for each level, so callers keep it
-    (``persist``, or a table bucketed by source). ``vertices``: the number of
+    (:func:`layout`, ``persist``, or a table bucketed by source). ``vertices``: the number of
     vertices with an edge, if known. A root without edges reaches itself.
     """
-    spark = adj.sparkSession
+    edges = adj.edges if isinstance(adj, Layout) else adj
+    spark = edges.sparkSession
     if vertices is None:
-        vertices = adj.select("src").distinct().count()
+        vertices = edges.select("src").distinct().count()
     found = spark.createDataFrame([(root, root, 0)], TREE)
     tree, frontier, levels = found, found, []
     state, level, visited, rows = Direction(forward=direction != "bottom_up"), 0, 1, 1
@@ -125,15 +184,14 @@ def bfs(adj: DataFrame, root: int, direction: str = "hybrid", vertices: int | No
     return Search(tree, levels)
 
 
-def bfs_many(adj: DataFrame, roots: list[int]) -> DataFrame:
+def bfs_many(adj: DataFrame | Layout, roots: list[int]) -> DataFrame:
     """(root, vertex, parent, depth) for several roots at once: all searches share each level's join."""
-    spark = adj.sparkSession
+    spark = (adj.edges if isinstance(adj, Layout) else adj).sparkSession
     tree = frontier = spark.createDataFrame([(r, r, r, 0) for r in sorted(set(roots))], "root long, vertex long, parent long, depth int")
     level, rows = 0, len(set(roots))
     while rows:
         level += 1
-        side = _side(frontier.select("root", F.col("vertex").alias("src")), rows)
-        reach = adj.join(side, "src").groupBy("root", F.col("dst").alias("vertex")).agg(F.min("src").alias("parent"))
+        reach = _joined(adj, frontier.select("root", F.col("vertex").alias("src")), rows).groupBy("root", F.col("dst").alias("vertex")).agg(F.min("src").alias("parent"))
         new = reach.join(tree.select("root", "vertex"), ["root", "vertex"], "left_anti")
         frontier = durable(new.select("root", "vertex", "parent", F.lit(level).alias("depth")))
         rows = frontier.count()
@@ -144,7 +202,7 @@ def bfs_many(adj: DataFrame, roots: list[int]) -> DataFrame:
     return tree
 
 
-def reachable(adj: DataFrame, root: int) -> DataFrame:
+def reachable(adj: DataFrame | Layout, root: int) -> DataFrame:
     return bfs(adj, root).tree.select("vertex")
 
 

@@ -75,7 +75,7 @@ def kronecker_roots(adj: DataFrame, spec: EdgeSpec, wanted: int) -> list[int]:
     return traverse.find_roots(draw, with_edges, spec.vertices, wanted)
 
 
-def prepare(spark: SparkSession, settings: Settings, report: Report) -> tuple[DataFrame, DataFrame]:
+def prepare(spark: SparkSession, settings: Settings, report: Report) -> tuple[DataFrame, traverse.Layout]:
     """Raw edges and adjacency, both kept; the times go to the report."""
     start = time.perf_counter()
     raw = edges(spark, settings.spec).select("v0", "v1")
@@ -87,10 +87,9 @@ def prepare(spark: SparkSession, settings: Settings, report: Report) -> tuple[Da
     raw.count()
     report.seconds["generation"] = time.perf_counter() - start
     start = time.perf_counter()
-    adj = graph.adjacency(raw).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
-    adj.count()
-    report.vertices = adj.select("src").distinct().count()
-    report.max_vertex = adj.agg(F.max("src")).first()[0] or 0
+    adj = traverse.layout(graph.adjacency(raw))
+    report.vertices, top = adj.edges.agg(F.countDistinct("src"), F.max("src")).first()
+    report.max_vertex = top or 0
     report.seconds["construction"] = time.perf_counter() - start
     start = time.perf_counter()
     rows, columns = exchange.grid(settings.members)
@@ -119,7 +118,7 @@ def run(spark: SparkSession, settings: Settings) -> Report:
         done = runlog.read_runs(spark, settings.log_folder)
         first = runlog.next_run(done).first()[0]
         report.runs = [tuple(r) for r in done.orderBy("run_id").collect()]  # one row for each root
-    roots = kronecker_roots(adj, spec, settings.roots)
+    roots = kronecker_roots(adj.edges, spec, settings.roots)
     until = time.perf_counter() + settings.warm_up_s
     while time.perf_counter() < until:
         traverse.bfs(adj, roots[0], settings.direction, report.vertices)

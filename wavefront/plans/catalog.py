@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -178,18 +179,40 @@ on_edges("varint_roundtrip", "G2", "SELECT src, CAST(count(*) AS BIGINT) AS n, s
 
 
 def _graph(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, DataFrame, int]:
-    """Raw edges, adjacency (kept, dealt out by source) and the least vertex with an edge."""
+    """Raw edges, adjacency and the least vertex with an edge."""
     raw = edges_from_tables(spark, folder, name)
-    adj = graph.adjacency(raw).repartition("src").persist()
-    return raw, adj, adj.agg(F.min("src")).first()[0]
+    adj = graph.adjacency(raw)
+    return raw, adj, graph.vertices(raw).agg(F.min("vertex")).first()[0]
 
 
-def _search(name: str, direction: str) -> Query:
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        _, adj, root = _graph(spark, folder, name)
-        return traverse.bfs(adj, root, direction).tree
+@dataclass
+class Searched:
+    """A search, what it was in, and the sizes of that."""
 
-    return run
+    raw: DataFrame
+    root: int
+    search: traverse.Search
+    vertices: int
+    edges: int
+    greatest: int
+
+    @property
+    def tree(self) -> DataFrame:
+        return self.search.tree
+
+
+def _searched(spark: SparkSession, folder: str, name: str = "G1", direction: str = "hybrid", count_relaxed: bool = False) -> Searched:
+    """The adjacency is kept for the search only; all levels are in the checkpoint folder afterwards."""
+    raw = edges_from_tables(spark, folder, name)
+    adj = traverse.layout(graph.adjacency(raw))
+    n, edges, root, top = adj.edges.agg(F.countDistinct("src"), F.count("*"), F.min("src"), F.max("src")).first()
+    search = traverse.bfs(adj, root, direction, n, count_relaxed)
+    adj.unpersist()
+    return Searched(raw, root, search, n, edges, top)
+
+
+def _search(name: str, direction: str) -> Query:
+    return lambda spark, folder: _searched(spark, folder, name, direction).tree
 
 
 for _name, _direction, _key in (("G1", "top_down", "bfs_top_down"), ("G1", "bottom_up", "bfs_bottom_up"), ("G1", "hybrid", "bfs_hybrid"), ("G2", "hybrid", "bfs_nations"), ("G3", "hybrid", "bfs_sequence"), ("G4", "hybrid", "bfs_deep")):
@@ -201,17 +224,15 @@ SELECT CAST(depth AS INTEGER) AS level, nq, CAST(sum(nq) OVER (ORDER BY depth) A
 
 @query("bfs_levels", f"{_tree('G1')}{LEVEL_SQL}")
 def bfs_levels(spark: SparkSession, folder: str) -> DataFrame:
-    _, adj, root = _graph(spark, folder, "G1")
-    tree = traverse.bfs(adj, root).tree
-    n = adj.select("src").distinct().count()
+    found = _searched(spark, folder)
+    tree, n = found.tree, found.vertices
     levels = tree.groupBy(F.col("depth").alias("level")).agg(F.count("*").alias("nq"))
     return graph.running_total(levels, "level", "nq", "before").select("level", "nq", (F.col("before") + F.col("nq")).alias("visited"), (F.lit(n) - F.col("before") - F.col("nq")).alias("unvisited"))
 
 
 @query("bfs_relaxed_edges", f"{_tree('G1')} SELECT CAST(t.depth + 1 AS INTEGER) AS level, count(*) AS relaxed FROM reach t JOIN adj ON src = t.vertex GROUP BY t.depth")
 def bfs_relaxed_edges(spark: SparkSession, folder: str) -> DataFrame:
-    _, adj, root = _graph(spark, folder, "G1")
-    search = traverse.bfs(adj, root, "top_down", count_relaxed=True)
+    search = _searched(spark, folder, direction="top_down", count_relaxed=True).search
     return search.levels_df(spark).where("relaxed > 0").select("level", "relaxed")
 
 
@@ -231,24 +252,21 @@ FROM run r JOIN lv v ON v.level = r.level, n"""
 
 @query("bfs_direction_trace", TRACE_SQL)
 def bfs_direction_trace(spark: SparkSession, folder: str) -> DataFrame:
-    _, adj, root = _graph(spark, folder, "G1")
-    return traverse.bfs(adj, root).levels_df(spark).select("level", "direction", "nq", "visited", "unvisited")
+    return _searched(spark, folder).search.levels_df(spark).select("level", "direction", "nq", "visited", "unvisited")
 
 
 @query("bfs_level_rates", f"""{_tree('G1')}{LEVELS_SQL}, m AS (SELECT count(*) AS m FROM adj), rx AS (SELECT t.depth + 1 AS level, count(*) AS relaxed FROM reach t JOIN adj ON src = t.vertex GROUP BY t.depth)
 SELECT CAST(v.level AS INTEGER) AS level, round(nq * 100.0 / n, 9) AS nq_rate, round((n - 1 - sum(nq) OVER (ORDER BY v.level)) * 100.0 / n, 9) AS unvisited_rate, round(relaxed * 100.0 / m, 9) AS relax_rate FROM lv v JOIN rx ON rx.level = v.level, n, m""")
 def bfs_level_rates(spark: SparkSession, folder: str) -> DataFrame:
-    _, adj, root = _graph(spark, folder, "G1")
-    search = traverse.bfs(adj, root, "top_down", count_relaxed=True)
-    rates = stats.level_rates(search.levels_df(spark), adj.select("src").distinct().count(), adj.count())
+    found = _searched(spark, folder, direction="top_down", count_relaxed=True)
+    rates = stats.level_rates(found.search.levels_df(spark), found.vertices, found.edges)
     return rates.select("level", *[F.round(c, 9).alias(c) for c in ("nq_rate", "unvisited_rate", "relax_rate")])
 
 
 @query("frontier_sizes", f"{_tree('G1')} SELECT depth AS level, CAST(sum(n) AS BIGINT) AS n, max(n) AS largest FROM (SELECT CAST(depth AS INTEGER) AS depth, vertex % {ROWS * COLUMNS} AS owner, count(*) AS n FROM reach GROUP BY ALL) GROUP BY depth")
 def frontier_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Vertices of each level, and the most that one member of the grid owns."""
-    _, adj, root = _graph(spark, folder, "G1")
-    tree = traverse.bfs(adj, root).tree
+    tree = _searched(spark, folder).tree
     depths = [r[0] for r in tree.select("depth").distinct().collect()]  # one for each level
     parts = [exchange.largest_part(tree.where(F.col("depth") == d), ROWS * COLUMNS).select(F.lit(d).cast("int").alias("level"), "n", "largest") for d in depths]
     return reduce(DataFrame.unionByName, parts)
@@ -256,8 +274,7 @@ def frontier_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("reachable", f"{_tree('G1')} SELECT vertex FROM reach")
 def reachable(spark: SparkSession, folder: str) -> DataFrame:
-    _, adj, root = _graph(spark, folder, "G1")
-    return traverse.reachable(adj, root)
+    return _searched(spark, folder).tree.select("vertex")
 
 
 @query(
@@ -267,9 +284,11 @@ reach(root, vertex, depth) USING KEY (root, vertex) AS (SELECT r, r, 0 FROM root
 SELECT root, vertex, CAST(depth AS INTEGER) AS depth FROM reach""",
 )
 def bfs_multi_root(spark: SparkSession, folder: str) -> DataFrame:
-    _, adj, _ = _graph(spark, folder, "G1")
-    roots = [r["src"] for r in adj.select("src").distinct().orderBy("src").limit(4).collect()]
-    return traverse.bfs_many(adj, roots).select("root", "vertex", "depth")
+    adj = traverse.layout(graph.adjacency(edges_from_tables(spark, folder, "G1")))
+    roots = [r["src"] for r in adj.edges.select("src").distinct().orderBy("src").limit(4).collect()]
+    out = traverse.bfs_many(adj, roots).select("root", "vertex", "depth")
+    adj.unpersist()
+    return out
 
 
 #: The first level of G1 from the least vertex: frontier and what is visited.
@@ -318,9 +337,8 @@ def frontier_intersection(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("lookup_gather", f"{_tree('G1')} SELECT v0, v1, depth FROM e LEFT JOIN tree ON v0 = vertex")
 def lookup_gather(spark: SparkSession, folder: str) -> DataFrame:
-    raw, adj, root = _graph(spark, folder, "G1")
-    tree = traverse.bfs(adj, root).tree.select(F.col("vertex").alias("v0"), "depth")
-    return exchange.lookup(raw, tree, "v0").select("v0", "v1", "depth")
+    found = _searched(spark, folder)
+    return exchange.lookup(found.raw, found.tree.select(F.col("vertex").alias("v0"), "depth"), "v0").select("v0", "v1", "depth")
 
 
 # validation
@@ -354,9 +372,8 @@ CORRUPT = {
 
 def _validation(change: dict[str, str]) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        raw, adj, root = _graph(spark, folder, "G1")
-        tree = traverse.bfs(adj, root).tree
-        n = adj.agg(F.max("src")).first()[0] + 1
+        found = _searched(spark, folder)
+        raw, tree, root, n = found.raw, found.tree, found.root, found.greatest + 1
         far = tree.agg(F.max("vertex").alias("x"))
         edited = tree.crossJoin(far).withColumns({"n": F.lit(n), "r": F.lit(root)})  # with one row
         edited = edited.where(change.get("where", "true")).selectExpr("vertex", f"{change.get('parent', 'parent')} AS parent", f"CAST({change.get('depth', 'depth')} AS INT) AS depth")
@@ -380,35 +397,33 @@ UNION ALL SELECT 'edge_leaves_tree', count(*) FROM ed WHERE (d0 IS NULL) <> (d1
 )
 def validate_root_out_of_range(spark: SparkSession, folder: str) -> DataFrame:
     """A good tree, read as that of a root beyond all vertices: root range and root parent fail, and the true root is its own parent."""
-    raw, adj, root = _graph(spark, folder, "G1")
-    n = adj.agg(F.max("src")).first()[0] + 1
-    return checks.violations(raw, traverse.bfs(adj, root).tree, n + 6, n).where("check IN ('root_range', 'root_parent', 'self_parent', 'edge_leaves_tree')")
+    found = _searched(spark, folder)
+    return checks.violations(found.raw, found.tree, found.greatest + 7, found.greatest + 1).where("check IN ('root_range', 'root_parent', 'self_parent', 'edge_leaves_tree')")
 
 
 @query("edge_visit_count", f"{_tree('G1')} SELECT count(*) AS n FROM e WHERE v0 IN (SELECT vertex FROM reach) AND v1 IN (SELECT vertex FROM reach)")
 def edge_visit_count(spark: SparkSession, folder: str) -> DataFrame:
-    raw, adj, root = _graph(spark, folder, "G1")
-    return checks.edge_visit_count(raw, traverse.bfs(adj, root).tree)
+    found = _searched(spark, folder)
+    return checks.edge_visit_count(found.raw, found.tree)
 
 
 @query("depth_from_parents", f"{_tree('G1')} SELECT vertex, depth FROM tree")
 def depth_from_parents(spark: SparkSession, folder: str) -> DataFrame:
-    _, adj, root = _graph(spark, folder, "G1")
-    return checks.depth_from_parents(traverse.bfs(adj, root).tree, root)
+    found = _searched(spark, folder)
+    return checks.depth_from_parents(found.tree, found.root)
 
 
 @query("tree_edge_exists", f"{_tree('G1')} SELECT vertex FROM tree, root WHERE vertex <> r AND NOT EXISTS (SELECT 1 FROM adj WHERE src = vertex AND dst = r)")
 def tree_edge_exists(spark: SparkSession, folder: str) -> DataFrame:
     """Vertices that would have no edge to their parent if the root were the parent of all."""
-    raw, adj, root = _graph(spark, folder, "G1")
-    flat = traverse.bfs(adj, root).tree.select("vertex", F.lit(root).alias("parent"), "depth")
-    return checks.missing_tree_edges(raw, flat, root)
+    found = _searched(spark, folder)
+    flat = found.tree.select("vertex", F.lit(found.root).alias("parent"), "depth")
+    return checks.missing_tree_edges(found.raw, flat, found.root)
 
 
 @query("pred_pack_unpack", f"{_tree('G1')} SELECT vertex, (CAST(depth AS BIGINT) << 48) | parent AS entry, parent, depth FROM tree")
 def pred_pack_unpack(spark: SparkSession, folder: str) -> DataFrame:
-    _, adj, root = _graph(spark, folder, "G1")
-    packed = traverse.bfs(adj, root).tree.select("vertex", codec.pack_entry(F.col("parent"), F.col("depth")).alias("entry"))
+    packed = _searched(spark, folder).tree.select("vertex", codec.pack_entry(F.col("parent"), F.col("depth")).alias("entry"))
     return packed.select("vertex", "entry", codec.entry_parent(F.col("entry")).alias("parent"), codec.entry_depth(F.col("entry")).alias("depth"))
 
 
@@ -488,8 +503,10 @@ def kronecker_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("kronecker_bfs", "SELECT * FROM (VALUES (0, 1), (1, 39), (2, 1989), (3, 1308), (4, 14)) AS t(depth, n)")
 def kronecker_bfs(spark: SparkSession, folder: str) -> DataFrame:
-    adj = graph.adjacency(kronecker_edges(spark, 12)).repartition("src").persist()
-    return traverse.bfs(adj, 3332).tree.groupBy("depth").agg(F.count("*").alias("n"))
+    adj = traverse.layout(graph.adjacency(kronecker_edges(spark, 12)), large=200)
+    tree = traverse.bfs(adj, 3332).tree
+    adj.unpersist()
+    return tree.groupBy("depth").agg(F.count("*").alias("n"))
 
 
 @query("kronecker_roots")

@@ -18,13 +18,16 @@ def shared_checkpoints(spark: SparkSession) -> None:
     """Make sure that checkpoints go to the folder the session names.
 
     Spark sets the folder itself from ``spark.checkpoint.dir``. Only where the
-    setting is missing (local tests) a temporary folder is taken.
+    setting is missing a temporary folder is taken, and only in a local session:
+    executors on other machines would not see it.
     """
     if spark.conf.get("spark.checkpoint.dir", None):
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
         return
     if not spark.sparkContext.getCheckpointDir():
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wavefront-"))
 
 

@@ -14,13 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, ascii_lower, durable, with_row_key
+from .common import ROW_KEY, ascii_lower, bounded, durable, with_row_key
 
 #: Words of a window, of a hashed gram, and grams of which the least is kept.
 SPAN, GRAM = 8, 5
 KEEP = SPAN - GRAM + 1
-#: Most rows of a side that is broadcast; beyond it the join is left to Spark.
-SMALL = 200_000
 
 
 def words(text: Column) -> Column:
@@ -44,11 +42,6 @@ def _spans(starts: Column, n: int) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("s"), F.lit(n).alias("n")))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast if it is small; a side of any other size is shuffled."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
-
-
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_words, n_hit, items (sorted as strings).
 
@@ -62,21 +55,25 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     item = item.withColumn("g", _grams(F.col("w"), GRAM))
     part = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - SPAN + 1)), lambda i: F.array_join(F.slice("w", i, SPAN), " "))
     windows = durable(item.select("item", F.explode(part).alias("window")).distinct())
-    texts = _bounded(durable(windows.select("window").distinct()))
+    texts = bounded(durable(windows.select("window").distinct()))
     short = [r[0] for r in item.where(F.size("w") < SPAN).select(F.size("w")).distinct().collect()]  # seven values at most
     prints = item.where(F.size("w") >= SPAN).select(F.explode(_kept(F.col("g"))).alias("f"))
     for n in short:
         prints = prints.unionByName(item.where(F.size("w") == n).select(F.explode(_grams(F.col("w"), n)).alias("f")))
-    prints = _bounded(durable(prints.distinct()))
+    prints = bounded(durable(prints.distinct()))
 
     keyed = with_row_key(docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")), "doc", "text")
-    tokens = keyed.withColumn("w", words(F.col("text")))
-    own = tokens.select(*ROW_KEY, "w", _grams(F.col("w"), GRAM).alias("g")).select(*ROW_KEY, "w", _kept(F.col("g")).alias("k"))
-    marks = F.concat(F.col("k"), *[_grams(F.col("w"), n) for n in short])
-    found = own.select(*ROW_KEY, F.explode(F.array_distinct(marks)).alias("f")).join(prints, "f").groupBy(*ROW_KEY).agg(F.collect_set("f").alias("seeds"))
+    tokens = keyed.select("doc", *ROW_KEY, words(F.col("text")).alias("w"))
+    own = tokens.select("doc", *ROW_KEY, "w", _grams(F.col("w"), GRAM).alias("g")).select("doc", *ROW_KEY, "w", _kept(F.col("g")).alias("k"))
+    marks = F.concat("k", *[_grams(F.col("w"), n) for n in short])
+    own = durable(own.select("doc", *ROW_KEY, F.size("w").cast("long").alias("n_words"), F.array_distinct(marks).alias("marks")))
+    found = own.select(*ROW_KEY, F.explode("marks").alias("f")).join(prints, "f").groupBy(*ROW_KEY).agg(F.collect_set("f").alias("seeds"))
     found = durable(found)
 
-    near = tokens.join(found, ROW_KEY).dropDuplicates(ROW_KEY).select(*ROW_KEY, "w", "seeds", _grams(F.col("w"), GRAM).alias("g"))
+    # few texts have a hash in common with an item: only these are cut into words again
+    ids = bounded(durable(found.select(*ROW_KEY)))
+    texts_found = keyed.join(ids, ROW_KEY, "left_semi").dropDuplicates(ROW_KEY).join(found, ROW_KEY).withColumn("w", words(F.col("text")))
+    near = texts_found.select(*ROW_KEY, "w", "seeds", _grams(F.col("w"), GRAM).alias("g"))
     near = near.withColumn("at", F.filter(F.transform("g", lambda h, i: F.when(F.array_contains(F.col("seeds"), h), i)), lambda i: i.isNotNull()))
     last = F.size("w") - SPAN
     starts = F.array_distinct(F.flatten(F.transform(F.filter("at", lambda i: last >= 0), lambda i: F.sequence(F.greatest(F.lit(0), F.least(i, last) - KEEP + 1), F.least(i, last)))))
@@ -91,7 +88,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     covered = covered.select(*ROW_KEY, F.size(F.array_distinct(F.flatten(F.transform("c", lambda x: F.sequence(x.s, x.s + x.n - 1))))).alias("n_hit"))
     named = occurs.select(*ROW_KEY, "window").distinct().join(windows, "window").groupBy(*ROW_KEY).agg(F.array_sort(F.collect_set("item")).alias("items"))
     marked = covered.join(named, ROW_KEY)
-    out = tokens.select("doc", *ROW_KEY, F.size("w").cast("long").alias("n_words")).join(marked, ROW_KEY, "left")
+    out = own.select("doc", *ROW_KEY, "n_words").join(marked, ROW_KEY, "left")
     return out.select(F.col("doc").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), *ROW_KEY)
 
 

@@ -122,6 +122,16 @@ def test_lines_cover_and_merge(spark):
     assert got == {1: (body, 0), 2: ("k\nl", 6), 3: ("z", 4), 4: ("p\nq\nz", 0)}
 
 
+def test_passages_inside_lines(spark):
+    """A passage of more than 50 words within longer lines, not at the same place of a line, goes from the later text."""
+    passage = " ".join(f"{x.capitalize()} " + " ".join(f"{x}{i}" for i in range(8)) + "." for x in ("one", "two", "three", "four", "five", "six", "seven"))
+    texts = [f"Begin here. {passage} And so on.", f"Other words\nstand before. {passage} Another end. Really.", "Begin here. And so on.", None, "", "No end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in linededup.deduplicate(df).collect()} == dict(enumerate(texts))
+    got = {r["doc_id"]: r["text"] for r in linededup.deduplicate(df, units="sentences").collect()}
+    assert got == dict(enumerate(texts)) | {1: "Other words\nstand before. Another end. Really."}
+
+
 # shards
 
 

@@ -1,8 +1,10 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a grouped minimum and a join, so a node with very many links is
-pre-aggregated before the shuffle and its join is split by adaptive execution.
-The number of rounds grows with the logarithm of the longest chain; no link,
+Every step is a grouped minimum, which is partly made before the shuffle, and a
+join of the links with these minima. The minima are broadcast while links are
+few; beyond that they are a table of their own, so that both sides of the join
+are shuffled for it and adaptive execution can split the links of one node. The
+number of rounds grows with the logarithm of the longest chain; no link,
 component or label is ever collected by the driver.
 """
 
@@ -11,19 +13,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import SMALL_ROWS, durable
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _side(least: DataFrame, links: int) -> DataFrame:
+    """At most two rows for each link."""
+    return F.broadcast(least) if 2 * links <= SMALL_ROWS else durable(least)
+
+
+def _large_star(edges: DataFrame, links: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(_side(least, links), "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, links: int) -> DataFrame:
     """``edges`` has a > b in every row."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    side = _side(least, links)
+    moved = edges.join(side, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.withColumnRenamed("m", "b")).distinct()
 
 
@@ -40,4 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(state) == seen or not state["n"]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         seen = tuple(state)
-        edges = durable(_small_star(_large_star(edges)))
+        edges = _large_star(edges, state["n"])
+        if 2 * state["n"] > SMALL_ROWS:
+            edges = durable(edges)
+        edges = durable(_small_star(edges, state["n"]))

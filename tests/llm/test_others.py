@@ -64,6 +64,32 @@ def test_embeddings_against_all_pairs(spark, vectors, window):
         assert sum(n for _, n, _ in got) >= 0.9 * sum(n for _, n, _ in want) and sum(n for _, n, _ in got) <= sum(n for _, n, _ in want)
 
 
+@pytest.mark.parametrize("common", [0.0, 0.8])
+def test_recall_in_a_large_label(spark, common):
+    """20,000 rows of one label, many windows long; single pairs close to the threshold, so nothing is crowded.
+
+    ``common``: the part of all vectors' square that is one direction.
+    """
+    rng = np.random.default_rng(9)
+    n, dim = 20_000, 32
+    x = rng.normal(size=(n, dim)) / math.sqrt(dim)
+    x = math.sqrt(1 - common) * x + math.sqrt(common) * np.eye(dim)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 1200, 2):
+        off = rng.normal(size=dim)
+        off -= (off @ x[i]) * x[i]
+        c = rng.uniform(0.981, 0.995)
+        x[i + 1] = c * x[i] + math.sqrt(1 - c * c) * off / np.linalg.norm(off)
+    links = np.zeros(n, int)
+    for at in range(0, n, 2000):
+        links[at : at + 2000] = (x[at : at + 2000] @ x.T >= 0.98).sum(axis=1) - 1
+    assert 0 < links.max() < 500
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df, window=512).collect()}
+    found = np.array([got[i] for i in range(n)])
+    assert (found <= links).all() and found.sum() >= 0.97 * links.sum()
+
+
 def test_embeddings_empty(spark, vectors):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")
     assert embeddings.near_duplicates(df.limit(0)).isEmpty()

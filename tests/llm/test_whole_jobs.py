@@ -2,11 +2,12 @@
 
 import itertools
 import random
+import re
 import textwrap
 
 import corpus_pipeline
 import pytest
-from wavefront.llm import jaccard, licenses
+from wavefront.llm import catalog, jaccard, licenses
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -61,6 +62,42 @@ def test_wrapped_headers(spark, start, mark, end):
     assert got == {p: None if p == "none/a.c" else p.split("/")[0] for p, _ in files}
 
 
+@pytest.mark.parametrize("start, mark, end", [("#!/bin/sh", "# ", "code = 1"), ("//", "// ", "int main() {}"), ("/*", " * ", " */")])
+def test_every_template_wrapped(spark, start, mark, end):
+    """All templates at 72 columns; texts that several licences share must give one of theirs."""
+    body = "def run(x):\n    return x + 1\n" * 5
+    files = []
+    for k, (name, text) in enumerate(licenses.TEMPLATES):
+        header = "\n".join(mark + x for x in textwrap.wrap(text, 72))
+        files += [(f"{k}/{i}.c", f"{start}\n{header}\n{end}\n" + body + f"y{i}") for i in range(5)]
+    assert all(re.search(licenses.CUE, text) for _, text in licenses.TEMPLATES)
+    got = {r["path"]: r["own_license"] for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {p: licenses.TEMPLATES[int(p.split("/")[0])][0] for p, _ in files}
+
+
+def test_license_inheritance_of_the_query(spark, data):
+    """License and from_dir of all rows, from own_license and the paths by a plain walk upwards."""
+    got = catalog.op9_licenses(spark, data).collect()
+    holding = {}
+    for r in got:
+        folder, _, name = r["path"].rpartition("/")
+        if re.search(licenses.LICENSE_FILE, name) and r["own_license"]:
+            holding.setdefault(folder, []).append((-r["own_score"], r["own_license"]))
+    inherited = 0
+    for r in got:
+        want = (r["own_license"], None)
+        folder = r["path"].rpartition("/")[0]
+        while r["own_license"] is None and want[0] is None:
+            if folder in holding:
+                want = (min(holding[folder])[1], folder)
+            if not folder:
+                break
+            folder = folder.rpartition("/")[0]
+        inherited += want[1] is not None
+        assert (r["license"], r["from_dir"]) == want
+    assert holding and inherited
+
+
 def test_unlabelled_rows_stay(spark):
     """Without a labelled row there is nothing to learn from, which is no reason to drop a text."""
     docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(["words of a text", "中文", "12 %", "", None])], DOCS)

@@ -127,13 +127,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_paths(docs: DataFrame) -> DataFrame:
     """Documents as files in folders of source, five thousands and five hundreds of ids.
 
-    A short text with a licence notice stands for a licence file, one folder up.
+    A text whose first or last line speaks of licences stands for a licence
+    file, one folder up, whatever its length.
     """
-    short = F.coalesce((F.length("text") < 160) & F.col("text").rlike(licenses.CUE), F.lit(False))
+    notice = F.coalesce(F.substring_index("text", "\n", 1).rlike(licenses.CUE) | F.substring_index("text", "\n", -1).rlike(licenses.CUE), F.lit(False))
     number = F.col("doc_id").cast("string")
     folder = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 5000).cast("string"))
     inner = F.concat_ws("/", folder, F.floor(F.col("doc_id") / 500).cast("string"), F.concat(F.lit("document."), number))
-    return docs.withColumn("path", F.when(short, F.concat_ws("/", folder, F.concat(F.lit("LICENSE."), number))).otherwise(inner))
+    return docs.withColumn("path", F.when(notice, F.concat_ws("/", folder, F.concat(F.lit("LICENSE."), number))).otherwise(inner))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,13 @@
 3. Grid range-join: a vector is put in its own cell and in every cell one step
    away. Two vectors at distance two or less share a cell, whatever the data.
    Fingerprints alone in all of their cells have no partner and leave here.
-4. Exact check of the rest: two fingerprints differ in at most two bits if and
-   only if some 64-bit word is at most one flip away from both. Each remaining
-   fingerprint is listed under its 65 such words, and all that meet under one
-   are linked to the least of them. Nothing is missed or added, and a group of
-   k near copies gives on the order of k rows and never k squared.
+4. Exact check: fingerprints that share a cell are compared bit by bit, each
+   with the least of the cell and, where a cell holds few, with each other.
+   Where it holds many (a group of near copies), all of them are listed under
+   the 65 words that are at most one flip away, and all that meet under one are
+   linked to the least of them: two fingerprints differ in at most two bits if
+   and only if they share such a word. So nothing is missed or added, and a
+   group of k near copies gives on the order of k rows and never k squared.
 
 Equal fingerprints are one row from the start, so groups of exact copies cost
 nothing after a pre-aggregated grouping.
@@ -30,10 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ROW_KEY, durable, with_row_key
+from .common import ROW_KEY, bounded, byte_slices, durable, with_row_key
 from .components import components
 
 WIDTH = 2
+#: Fingerprints of a cell that are compared with each other.
+FEW = 32
 #: Shingles whose bits are counted at once, which bounds the memory for one text.
 BLOCK = 1 << 16
 
@@ -63,9 +67,10 @@ def _with_fingerprints(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            fps = pa.array([fingerprint(t, shingle) for t in batch.column(at).to_pylist()], pa.int64())
             rest = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + [fps], [batch.schema.names[i] for i in rest] + ["fp"])
+            for part in byte_slices(batch, at):
+                fps = pa.array([fingerprint(t, shingle) for t in part.column(at).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in rest] + [fps], [batch.schema.names[i] for i in rest] + ["fp"])
 
     return df.mapInArrow(run, schema)
 
@@ -104,12 +109,24 @@ def near_links(fps: DataFrame) -> DataFrame:
 
     ``fps``: distinct values in a long column fp.
     """
-    in_cells = durable(fps.select("fp", cell(F.col("fp")).alias("c"))).select("fp", F.explode(F.filter(_steps(F.col("c")), lambda x: x.isNotNull())).alias("c"))
-    shared = in_cells.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
-    candidates = durable(in_cells.join(shared, "c", "left_semi").select("fp").distinct())
-    words = candidates.select("fp", F.explode(_flips(F.col("fp"))).alias("w"))
-    least = words.groupBy("w").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("w", "b")
-    return words.join(least, "w").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = durable(fps.select("fp", cell(F.col("fp")).alias("own")).repartition(parts, "fp"))  # so many rows come of one that a task must not hold many
+    in_cells = own.select("fp", "own", F.explode(F.filter(_steps(F.col("own")), lambda x: x.isNotNull())).alias("c"))
+    shared = durable(in_cells.groupBy("c").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1"))
+    met = durable(in_cells.join(bounded(shared), "c"))
+
+    def near(a: str, b: str) -> Column:
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 2
+
+    links = met.where(F.col("fp") != F.col("least")).where(near("fp", "least")).select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    few = met.where(F.col("n") <= FEW)
+    one, two = (few.select("c", F.col("fp").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
+    # vectors of one cell are compared there alone; of two neighbours each other cell has one at most
+    pairs = one.join(two, "c").where("a > b AND (own_a <> own_b OR own_a = c)").where(near("a", "b")).select("a", "b")
+    words = met.where(F.col("n") > FEW).select("fp").distinct().select("fp", F.explode(_flips(F.col("fp"))).alias("w"))
+    least = durable(words.groupBy("w").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("w", "b"))
+    chained = words.join(bounded(least), "w").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    return links.unionByName(pairs).unionByName(chained).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep_hash: bool = False) -> DataFrame:

@@ -24,8 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import byte_slices
+
 #: Most entries of each memo of a worker; a full memo is emptied and fills again.
 MEMO = 300_000
+#: Characters of a piece that is remembered at most, so that entries bound bytes too.
+LONG = 48
 
 
 class Codec:
@@ -42,7 +46,7 @@ class Codec:
         for token, rank in self.ids.items():
             self.found.add_word(token.decode("latin-1"), (rank, len(token)))
         self.found.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.split_of: dict[int, tuple[int, int] | None] = {}
         self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
@@ -99,7 +103,8 @@ class Codec:
         first if its rank is below that of the left part's next merge (of equal
         ones the left goes first) and not above that of the right part's.
         """
-        if (known := self.fits.get((before, token))) is not None:
+        pair = before << 32 | token
+        if (known := self.fits.get(pair)) is not None:
             return known
         left, right, ids = self._edge(before, 1), self._edge(token, 0), self.ids
         i = j = 0
@@ -118,7 +123,7 @@ class Codec:
                 break
         if len(self.fits) >= MEMO:
             self.fits.clear()
-        self.fits[before, token] = known
+        self.fits[pair] = known
         return known
 
     def extend(self, data: bytes, last: list[int]) -> None:
@@ -152,7 +157,9 @@ class Codec:
         return self.walk(data, last)
 
     def _missing(self, piece: str) -> tuple[int, ...]:
-        """Two generations of a memo: what is used stays, and the size is bounded."""
+        """Two generations of a memo: what is used stays, and the size is bounded. Long pieces are not remembered."""
+        if len(piece) > LONG:
+            return tuple(self.encode_piece(piece.encode()))
         if len(self.memo) >= MEMO:
             self.older, self.memo = self.memo, {}
         known = self.memo[piece] = self.older.get(piece) or tuple(self.encode_piece(piece.encode()))
@@ -229,7 +236,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text",
     """
     data = Path(vocabulary).read_bytes()
     added = [ids_col] + ([decoded_col] if decoded_col else [])
-    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c == text_col or c not in added])
+    df = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns if c == text_col or c not in added])
     fields = [f for f in df.schema if f.name != text_col] + [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))]
     fields += [T.StructField(decoded_col, T.BinaryType())] if decoded_col else []
 
@@ -238,9 +245,8 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text",
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             rest = [i for i in range(batch.num_columns) if i != at]
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                found = [codec.encode(t or "") for t in part.column(at).to_pylist()]
+            for part in byte_slices(batch, at, 1 << 20):
+                found = [codec.encode(t) for t in part.column(at).to_pylist()]
                 offsets = np.zeros(len(found) + 1, np.int32)
                 np.cumsum([len(x) for x in found], out=offsets[1:])
                 flat = np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))
@@ -253,13 +259,22 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text",
 
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, ids_col: str = "token_ids", decoded_col: str = "decoded") -> DataFrame:
-    """``df`` with the bytes of the token ids added; null ids give null bytes."""
+    """``df`` with the bytes of the token ids added; null ids give null bytes.
+
+    A column with the name of the added one is replaced, all others stay.
+    Rows are independent: repeated rows give repeated results, lists of any
+    length are decoded whole, an empty table gives an empty one. An id that the
+    vocabulary lacks raises KeyError.
+    """
     data = Path(vocabulary).read_bytes()
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c == ids_col or c != decoded_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data, pattern)
         for batch in batches:
-            found = [None if x is None else codec.decode(x) for x in batch.column(ids_col).to_pylist()]
-            yield batch.append_column(decoded_col, pa.array(found, pa.binary()))
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                found = [None if x is None else codec.decode(x) for x in part.column(ids_col).to_pylist()]
+                yield part.append_column(decoded_col, pa.array(found, pa.binary()))
 
     return df.mapInArrow(run, T.StructType([*df.schema, T.StructField(decoded_col, T.BinaryType())]))

@@ -42,7 +42,9 @@ def paths(messages: DataFrame, tree: str = "tree_id", node: str = "msg_id", pare
     A message is a root if its parent is null, itself, or not in its tree, and
     a leaf if no other message replies to it. Messages without an id are left
     out, a repeated id counts once with its least parent; what hangs on a cycle
-    has no root and is left out. A null tree id is a tree like any other.
+    has no root and is left out. A null tree id is a tree like any other. A
+    tree of d levels takes log2(d) rounds; the rows are one for each message on
+    each path, so a wide tree gives as many paths as it has leaves.
     """
     rows = messages.where(F.col(f"`{node}`").isNotNull()).groupBy(F.col(f"`{tree}`").alias("t"), F.col(f"`{node}`").alias("n")).agg(F.min(F.col(f"`{parent}`")).alias("p"))
     rows = durable(rows)
@@ -69,7 +71,8 @@ def conversations(messages: DataFrame, tree: str = "tree_id", node: str = "msg_i
     None takes all. ``loss_spans``: (start, length) in code points of
     ``formatted`` for the text of each turn whose role is ``learn_from``.
     Null roles and texts are empty, null scores zero; of rows that repeat an id
-    the least (role, text) counts. An empty table gives no rows.
+    the least (role, text) counts. An empty table gives no rows. Other columns
+    are ignored. A path becomes one text, so it must fit in the memory of a task.
     """
     lines = paths(messages, tree, node, parent).select(F.col(tree).alias("t"), "leaf", F.col(node).alias("n"), "up")
     value = F.coalesce(F.col(f"`{score}`").cast("double"), F.lit(0.0)) if score else F.lit(0.0)

@@ -18,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HIDDEN
+from .common import HIDDEN, byte_slices
 
 #: Bytes of a window; windows overlap by the widest filter less one.
 WINDOW, WIDTHS = 256, (2, 3, 4)
@@ -139,28 +139,35 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % 4 == 2
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, max_languages: int = 200) -> list[tuple[str, str]]:
-    """At most ``per_language`` windows of labelled rows for each of the most frequent languages.
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[str, str]]:
+    """At most ``per_language`` windows of labelled rows for each language that has a row.
 
     Rows are drawn by a hash of their id and text, and a window's place in the
-    whole text by the same hash, so the draw is the same on every run.
+    whole text by the same hash, so the draw is the same on every run: about a
+    fifth more than wanted by the share of a language's rows, then the first
+    ones in the order of the hash.
     """
     own = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("l"))
     own = own.where(~held_out(F.col("i")) & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    counts = own.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).collect()
+    counts = own.groupBy("l").count().collect()  # a row for each language, which the network has as well
     if not counts:
         return []
     draw = F.xxhash64("i", "t")
-    share = F.coalesce(*[F.when(F.col("l") == r["l"], F.lit(min(1.0, 1.2 * per_language / r["count"]))) for r in counts])
+    share = docs.sparkSession.createDataFrame([(r["l"], min(1.0, 1.2 * per_language / r["count"])) for r in counts], "l string, share double")
     place = F.pmod(F.shiftright(draw, 20), F.greatest(F.lit(1), F.length("t") - WINDOW + 1)).cast("int") + 1
-    drawn = own.where(F.pmod(draw, F.lit(1 << 20)) < share * (1 << 20)).select("l", F.substring(F.col("t"), place, F.lit(WINDOW)).alias("t"), draw.alias("d"))
-    drawn = drawn.where(F.col("t").rlike(r"\p{L}"))
-    rows = drawn.limit(int(1.5 * per_language * len(counts)) + 100).collect()
-    return [(r["t"], r["l"]) for r in sorted(rows, key=lambda r: (r["d"], r["t"]))]
+    drawn = own.join(F.broadcast(share), "l").where(F.pmod(draw, F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("l", F.substring(F.col("t"), place, F.lit(WINDOW)).alias("t"), draw.alias("d"))
+    turn = F.row_number().over(Window.partitionBy("l").orderBy("d", "t"))  # of a bounded number of rows
+    rows = drawn.where(F.col("t").rlike(r"\p{L}")).withColumn("turn", turn).where(F.col("turn") <= per_language).collect()
+    return [(r["t"], r["l"]) for r in sorted(rows, key=lambda r: (r["d"], r["t"], r["l"]))]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600) -> Network | None:
-    """The network for a table, or None if no row can be learned from."""
+    """The network for a table, or None if no row can be learned from.
+
+    It learns every language that has a row, from at most ``per_language``
+    windows of each; that is its bound on labelled rows. Null texts and texts
+    without a letter teach nothing.
+    """
     rows = training_sample(docs, id_col, text_col, lang_col, per_language)
     return train([t for t, _ in rows], [lang for _, lang in rows]) if rows else None
 
@@ -190,8 +197,7 @@ def predict(docs: DataFrame, network: Network | None, text_col: str = "text", la
         for batch in batches:
             at, flag = (batch.schema.get_field_index(c) for c in (text_col, letters))
             others = [batch.schema.get_field_index(f.name) for f in rest]
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
+            for part in byte_slices(batch, at, 1 << 20):
                 texts = [t.encode("utf-8", "surrogatepass") if any_letter else b"" for t, any_letter in zip(part.column(at).to_pylist(), part.column(flag).to_pylist())]
                 sizes = np.array([len(t) for t in texts])
                 windows = -(-(sizes + OVERLAP) // WINDOW) * (sizes > 0)

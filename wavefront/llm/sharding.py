@@ -100,7 +100,9 @@ def with_slots(df: DataFrame, order: list[str], shard: str = "shard", slot: str
 
     Rows are dealt out by range, so any number of tasks shares a shard, however
     many rows have the same values; each task counts its rows, and only these
-    counts are summed up in order. Equal rows are numbered in any order.
+    counts are summed up in order. Equal rows are numbered in any order, nulls
+    come first; a null shard is a shard like any other. A column with the name
+    of the added one is replaced. An empty table stays empty.
     """
     pid, uid, base = f"{HIDDEN}pid", f"{HIDDEN}uid", f"{HIDDEN}base"
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -48,6 +48,45 @@ def test_near_copies_at_four_fifths(spark):
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").isEmpty()
 
 
+def edited_copies(n, edits):
+    """Copies of one text with up to so many words replaced; their fingerprints are many bits apart at most edits."""
+    rng = random.Random(3)
+    words = [rng.choice("abcdefghij") + str(rng.randrange(999)) for _ in range(150)]
+    out = []
+    for i in range(n):
+        copy = list(words)
+        for _ in range(rng.randrange(edits + 1)):
+            copy[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        out.append((i, " ".join(copy), "en", "s", 1))
+    return out
+
+
+def least_of_groups(rows):
+    sets = [set(jaccard.shingles(r[1]).tolist()) for r in rows]
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if group[i] != group[j] and both * 100 >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((group[i], group[j]))
+            group = [a if g == b else g for g in group]
+    return sorted(set(group))
+
+
+def test_pairs_of_a_large_group(spark, monkeypatch):
+    """In a group of near copies, some of them too far from all others, rows for pairs stay in proportion to it."""
+    rows, made, possible = edited_copies(400, 9), [], jaccard._possible
+
+    def counted(met, *rest):
+        made.append(met.count())
+        return possible(met, *rest)
+
+    monkeypatch.setattr(jaccard, "_possible", counted)
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "")
+    want = least_of_groups(rows)
+    assert len(want) > 20 and sorted(r["doc_id"] for r in kept.collect()) == want
+    assert max(made) < 50 * len(rows)
+
+
 @pytest.mark.parametrize("start, mark, end", [("/*", " * ", " */"), ("#!/bin/sh", "# ", "code = 1"), ("", "", ""), ("//", "// ", "int main() {}")])
 def test_wrapped_headers(spark, start, mark, end):
     """Headers at the width of a page, with the code that follows, at the threshold in use."""

@@ -57,9 +57,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With one row of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more.
 
-    Fingerprints of 64 bits can't reach such pairs (they differ in up to 15
-    bits), so candidates come from shared shingles; parities of segments bound
-    the difference from below, and what is left is compared exactly. The row
+    Operator 1 joins the fingerprints of these shingles, and what it links is
+    compared exactly. Its 64 bits can't reach all such pairs (they differ in up
+    to 15 bits), so the other candidates come from shared shingles; parities of
+    segments bound the difference from below, and what is left is compared
+    exactly. The row
     with the least id stays (null last), of rows of one id one. Null and empty
     texts are copies of each other. Other columns stay as they are. No rows
     give no rows.

@@ -7,7 +7,7 @@ import textwrap
 
 import corpus_pipeline
 import pytest
-from wavefront.llm import catalog, jaccard, licenses
+from wavefront.llm import catalog, jaccard, licenses, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -87,6 +87,22 @@ def test_pairs_of_a_large_group(spark, monkeypatch):
     assert max(made) < 50 * len(rows)
 
 
+def test_fingerprints_link_near_copies(spark, monkeypatch):
+    """Operator 1's grid joins the fingerprints of the stage; what it links is checked exactly, and what it can't link is found."""
+    rows, joined, near_links = edited_copies(60, 4), [], simhash.near_links
+
+    def seen(fps):
+        links = near_links(fps)
+        joined.extend((r["a"], r["b"]) for r in links.collect())
+        return links
+
+    monkeypatch.setattr(simhash, "near_links", seen)
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == least_of_groups(rows)
+    fps = {simhash.fingerprint(r[1], 5) for r in rows}
+    assert joined and {x for link in joined for x in link} < fps
+
+
 @pytest.mark.parametrize("start, mark, end", [("/*", " * ", " */"), ("#!/bin/sh", "# ", "code = 1"), ("", "", ""), ("//", "// ", "int main() {}")])
 def test_wrapped_headers(spark, start, mark, end):
     """Headers at the width of a page, with the code that follows, at the threshold in use."""

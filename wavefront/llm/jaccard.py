@@ -1,10 +1,13 @@
 """Near copies by the Jaccard similarity of their shingle sets; complete and exact.
 
-The stage form of operator 1: 64-bit fingerprints can't separate pairs at
-similarity 0.8 from others, so candidates come from shared shingles.
+The stage form of operator 1. Its fingerprints, here of shingles of this width,
+its grid and its check bit by bit give the first candidates. Fingerprints of 64
+bits can't separate all pairs at similarity 0.8 from others, so further candidates,
+all that there are, come from shared shingles.
 
 1. A text becomes the set of its shingles' 64-bit hashes. Equal sets are one
-   node, named by a 64-bit hash of the set.
+   node, named by a 64-bit hash of the set. Nodes whose fingerprints operator 1
+   links are compared as in step 5 and tied together if they are similar.
 2. Two sets of similarity s or more share a shingle among the first
    n - ceil(s n) + 1 of each, in any one order of all shingles. Here frequent
    shingles (passages that many texts share) come last, others by their hashes. A
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import wordhash
+from . import simhash, wordhash
 from .common import HIDDEN, ROW_KEY, SMALL_ROWS, bounded, byte_slices, durable, release, with_row_key
 from .components import components
 
@@ -109,11 +112,11 @@ def _nodes(rows: DataFrame, width: int, per_cent: int | None, late: np.ndarray |
     """``rows`` with the column text replaced by node, n (the number of its shingles) and the
     first of them: all where ``per_cent`` is None; as many as that similarity needs, those in
     ``late`` last, where it is given; else some more than needed, together with ``odd``, the
-    parities of the whole set."""
+    parities of the whole set, and ``fp``, the fingerprint of operator 1 on these shingles."""
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
     names, opening = [c for c in rows.columns if c != "text"], per_cent is not None and late is None
     longs = F.array().cast("array<bigint>")
-    schema = rows.select(*names, *(F.lit(0).cast("long").alias(c) for c in ("node", "n")), longs.alias("first"), *([longs.alias("odd")] if opening else [])).schema
+    schema = rows.select(*names, *(F.lit(0).cast("long").alias(c) for c in ("node", "n")), longs.alias("first"), *([longs.alias("odd"), F.lit(0).cast("long").alias("fp")] if opening else [])).schema
 
     def first(found: np.ndarray) -> np.ndarray:
         if per_cent is None:
@@ -131,7 +134,7 @@ def _nodes(rows: DataFrame, width: int, per_cent: int | None, late: np.ndarray |
                 sets = _sets(b.column(at), width)
                 new = [pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([first(s) for s in sets])]
                 if opening:
-                    new += [_parities(sets)]
+                    new += [_parities(sets), pa.array([simhash.fingerprint(t, width) for t in b.column(at).to_pylist()], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *new], schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -231,14 +234,30 @@ def _checked(pairs: DataFrame, sets_of, per_cent: int) -> DataFrame | None:
     return durable(_verified(pairs, sets_of(wanted), per_cent))
 
 
-def _links(first: DataFrame, odd: DataFrame, sets_of, per_cent: int) -> DataFrame | None:
-    """Links (a, b) whose components are those of all similar pairs that share a row's shingle.
+def _fingerprint_links(nodes: DataFrame, sets_of, per_cent: int) -> DataFrame | None:
+    """Links among the nodes whose fingerprints operator 1 joins; ``nodes``: (node, n, odd, fp).
+
+    Nodes of one fingerprint are compared with the least of them, and these with
+    each other where their fingerprints are linked.
+    """
+    least = durable(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("x")).select("fp", F.col("x.node").alias("least"), F.col("x.n").alias("size")))
+    same = nodes.join(least, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"), F.col("n").alias("na"), F.col("size").alias("nb"))
+    one, two = least.toDF("fa", "a", "na"), least.toDF("fb", "b", "nb")
+    near = simhash.near_links(least.select("fp")).toDF("fa", "fb").join(one, "fa").join(two, "fb").select("a", "b", "na", "nb")
+    found = _checked(_close(same.unionByName(near), nodes.select("node", "odd"), per_cent), sets_of, per_cent)
+    del least, same, one, two, near
+    release(nodes.sparkSession)
+    return found
+
+
+def _links(first: DataFrame, odd: DataFrame, sets_of, per_cent: int, links: DataFrame | None) -> DataFrame | None:
+    """``links`` and others (a, b) whose components are those of all similar pairs that share a row's shingle.
 
     ``first``: (h, node, n, place, hot), the first shingles of each node in one order;
     ``odd``: (node, odd), the parities of each node;
     ``sets_of``: from a table of nodes to (node, n, first) with their whole sets, and maybe others.
     """
-    links = group = None
+    group = None if links is None else durable(components(links))
     for turn in range(STARS + 1):
         rows = first
         if group is not None:
@@ -271,10 +290,11 @@ def _links(first: DataFrame, odd: DataFrame, sets_of, per_cent: int) -> DataFram
 def similar_links(nodes: DataFrame, lists_of, sets_of, per_cent: int) -> DataFrame | None:
     """Links (a, b) whose components are those of all pairs of similar nodes; None if there is no candidate.
 
-    ``nodes``: (node, n, first, odd), each node once, as :func:`_nodes` gives them;
+    ``nodes``: (node, n, first, odd, fp), each node once, as :func:`_nodes` gives them;
     ``sets_of`` as in :func:`_links`; ``lists_of``: from a table of nodes and the
     frequent shingles to (node, n, first), and maybe others, with those last.
     """
+    links = _fingerprint_links(nodes.select("node", "n", "odd", "fp"), sets_of, per_cent)
     late = _late(nodes, sets_of, per_cent)
     placed = durable(_placed(nodes, late, per_cent))
     crowded, lists = durable(placed.where("first IS NULL").select("node")), placed.where("first IS NOT NULL")
@@ -288,7 +308,7 @@ def similar_links(nodes: DataFrame, lists_of, sets_of, per_cent: int) -> DataFra
     first = durable(_in_reach(met, "least", "most", per_cent).drop("least", "most"))
     del placed, crowded, lists, rows, shared, met
     release(nodes.sparkSession)
-    return _links(first, nodes.select("node", "odd"), sets_of, per_cent)
+    return _links(first, nodes.select("node", "odd"), sets_of, per_cent, links)
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, per_cent: int = 80) -> DataFrame:
@@ -305,8 +325,8 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = with_row_key(docs, id_col, text_col)
     slim = keyed.select(F.col(f"`{id_col}`").alias(f"{HIDDEN}doc"), *ROW_KEY, F.col(f"`{text_col}`").alias("text"))
     coded = _nodes(slim, width, per_cent)
-    own = durable(coded.drop("n", "first", "odd"))
-    nodes = durable(coded.groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"), F.first("odd").alias("odd"), F.min(F.struct(*ROW_KEY)).alias("key")))
+    own = durable(coded.drop("n", "first", "odd", "fp"))
+    nodes = durable(coded.groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"), F.first("odd").alias("odd"), F.min("fp").alias("fp"), F.min(F.struct(*ROW_KEY)).alias("key")))
     release(docs.sparkSession)
 
     def texts_of(wanted: DataFrame) -> DataFrame:

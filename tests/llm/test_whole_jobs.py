@@ -7,7 +7,7 @@ import textwrap
 
 import corpus_pipeline
 import pytest
-from wavefront.llm import catalog, jaccard, licenses, simhash
+from wavefront.llm import catalog, components, jaccard, licenses, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -158,3 +158,41 @@ def test_unlabelled_rows_stay(spark):
     docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(["words of a text", "中文", "12 %", "", None])], DOCS)
     got = corpus_pipeline.language_id(spark, docs, "").collect()
     assert sorted((r["doc_id"], r["lang"]) for r in got) == [(0, None), (1, None)]
+
+
+@pytest.mark.parametrize("small_rows", [components.SMALL_ROWS, 100])
+def test_components_of_few_links_make_few_files(spark, monkeypatch, small_rows):
+    """Rounds over few links write one file each, whatever the number of partitions; those over many give the same."""
+    rng, parts, durable = random.Random(5), [], components.durable
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(150)] + [(i, i + 1) for i in range(500, 540)]
+    parent = {x: x for link in links for x in link}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    want = sorted((x, find(x)) for x in {x for a, b in links if a != b for x in (a, b)})
+
+    def counted(df):
+        out = durable(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(components, "SMALL_ROWS", small_rows)
+    monkeypatch.setattr(components, "durable", counted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = components.components(spark.createDataFrame(links, "a long, b long"))
+        assert sorted(map(tuple, got.collect())) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(parts) > 2
+    if small_rows > 2 * len(links):
+        assert set(parts[1:]) == {1}

@@ -279,7 +279,7 @@ def _links(first: DataFrame, odd: DataFrame, sets_of, per_cent: int, links: Data
         found = _checked(_possible(met, odd, per_cent, turn < STARS), sets_of, per_cent)
         if found is None:
             continue
-        links = found if links is None else durable(links.unionByName(found))
+        links = found if links is None else links.unionByName(found)
         if turn < STARS:
             group = durable(components(links))
         rows = left = right = centre = met = found = None

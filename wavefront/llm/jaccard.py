@@ -108,10 +108,18 @@ def _spare(k: int) -> int:
     return max(4, k // SPARE)
 
 
+def _among(found: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of ``found`` are in ``ordered`` (ascending). By bisection: ``ordered`` holds up to
+    all frequent shingles of the corpus, so a text must not cost a pass over it."""
+    if not len(ordered):
+        return np.zeros(len(found), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, found), len(ordered) - 1)] == found
+
+
 def _nodes(rows: DataFrame, width: int, per_cent: int | None, late: np.ndarray | None = None) -> DataFrame:
     """``rows`` with the column text replaced by node, n (the number of its shingles) and the
     first of them: all where ``per_cent`` is None; as many as that similarity needs, those in
-    ``late`` last, where it is given; else some more than needed, together with ``odd``, the
+    ``late`` (ascending) last, where it is given; else some more than needed, together with ``odd``, the
     parities of the whole set, and ``fp``, the fingerprint of operator 1 on these shingles."""
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
     names, opening = [c for c in rows.columns if c != "text"], per_cent is not None and late is None
@@ -124,7 +132,7 @@ def _nodes(rows: DataFrame, width: int, per_cent: int | None, late: np.ndarray |
         k = _needed(len(found), per_cent)
         if late is None:
             return found[: k + _spare(k)]
-        hot = np.isin(found, late)
+        hot = _among(found, late)
         return np.concatenate([found[~hot], found[hot]])[:k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +158,7 @@ def _placed(nodes: DataFrame, late: np.ndarray, per_cent: int) -> DataFrame:
             out = []
             for n, h in zip(batch.column(1).to_pylist(), batch.column(2)):
                 h, k = np.asarray(h.values), _needed(n, per_cent)
-                rest = h[~np.isin(h, late)]
+                rest = h[~_among(h, late)]
                 out.append(rest[:k] if len(h) - len(rest) <= len(h) - min(k, len(h)) else None)
             lists = pa.array(out, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], schema.names)
@@ -159,12 +167,12 @@ def _placed(nodes: DataFrame, late: np.ndarray, per_cent: int) -> DataFrame:
 
 
 def _frequent(sets: DataFrame) -> np.ndarray:
-    """Shingles of more than FEW nodes, as the one node in SAMPLE tells that ``sets`` holds; no more than SMALL_ROWS."""
+    """Shingles of more than FEW nodes, ascending, as the one node in SAMPLE tells that ``sets`` holds; no more than SMALL_ROWS."""
     found, least = sets.select(F.explode("first").alias("h")).groupBy("h").agg(F.count("*").alias("df")), FEW // SAMPLE
     found = durable(found.where(F.col("df") > least))
     while found.where(F.col("df") > least).count() > SMALL_ROWS:
         least *= 2
-    return found.where(F.col("df") > least).select("h").toArrow().column(0).to_numpy()
+    return np.sort(found.where(F.col("df") > least).select("h").toArrow().column(0).to_numpy())
 
 
 def _late(nodes: DataFrame, sets_of, per_cent: int) -> np.ndarray:

@@ -73,8 +73,15 @@ def largest_part(frontier: DataFrame, members: int) -> DataFrame:
 
 
 def redistribute(edges: DataFrame, rows: int, columns: int) -> DataFrame:
-    """Edges dealt out by their place on the grid; a weight column goes along."""
-    return edges.withColumn("owner", edge_owner(F.col("v0"), F.col("v1"), rows, columns)).repartition(rows * columns, "owner")
+    """Edges dealt out by their place on the grid; a weight column goes along.
+
+    As many tasks share a member as the session has partitions for it, one at least;
+    else the edges of a member, or of several, would all have to pass through one.
+    """
+    members = rows * columns
+    shares = -(-int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // members)
+    placed = edges.withColumn("owner", edge_owner(F.col("v0"), F.col("v1"), rows, columns))
+    return placed.repartition(members * shares, "owner", F.pmod(F.xxhash64("v0", "v1"), F.lit(shares)))
 
 
 def swizzle(v: Column, members: int, bits: int) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from wavefront.operators import graph, traverse, validate
+from wavefront.operators import exchange, graph, traverse, validate
 from wavefront.schema import EDGES, TREE
 
 PATH = [(0, 1), (1, 2), (2, 3), (3, 4)]
@@ -147,3 +147,28 @@ def test_large_rows_apart(spark):
         assert sorted(map(tuple, one.tree.collect())) == sorted(map(tuple, two.tree.collect())) and one.levels == two.levels
     assert sorted(map(tuple, traverse.bfs_many(kept, [3, 901]).collect())) == sorted(map(tuple, traverse.bfs_many(adj, [3, 901]).collect()))
     kept.unpersist()
+
+
+def test_search_over_kept_edges(spark, monkeypatch):
+    """Repeats, loops and both kinds of frontier: the tree and the counts are those of the adjacency; few rows move nothing."""
+    pairs = [(i, j) for i in range(0, 60, 2) for j in (i + 1, i * 7 % 60 + 1, i + 2)] * 2 + [(4, 4), (901, 902)]
+    adj = graph.adjacency(frame(spark, pairs)).persist()
+    want = traverse.bfs(adj, 0, "top_down", count_relaxed=True)
+    assert [r["relaxed"] for r in want.levels] == [adj.join(want.tree.where(F.col("depth") == r["level"] - 1), F.col("src") == F.col("vertex")).count() for r in want.levels]
+    for few in (traverse.BROADCAST_ROWS, 2):
+        monkeypatch.setattr(traverse, "BROADCAST_ROWS", few)
+        kept = traverse.Kept(frame(spark, pairs))
+        got = traverse.bfs(kept, 0, "top_down", count_relaxed=True)
+        assert sorted(map(tuple, got.tree.collect())) == sorted(map(tuple, want.tree.collect()))
+        assert [(r["nq"], r["relaxed"]) for r in got.levels] == [(r["nq"], r["relaxed"]) for r in want.levels]
+        assert (kept.dealt is None) == (few > 2)
+        assert sorted(map(tuple, traverse.bfs_many(kept, [0, 901]).collect())) == sorted(map(tuple, traverse.bfs_many(adj, [0, 901]).collect()))
+        kept.unpersist()
+
+
+def test_redistribution_shares_a_member(spark):
+    """All edges belong to one member; no task holds them all."""
+    edges = spark.range(4000).select((F.col("id") * 6).alias("v0"), (F.col("id") * 6).alias("v1"))
+    spread = exchange.redistribute(edges, 1, 2)
+    assert spread.select("owner").distinct().count() == 1 and spread.count() == 4000
+    assert max(spread.rdd.glom().map(len).collect()) < 3000

@@ -18,14 +18,18 @@ def symmetrize(edges: DataFrame) -> DataFrame:
     return without_loops(edges).select(ends.alias("e")).select("e.src", "e.dst")
 
 
+def merged(edges: DataFrame) -> DataFrame:
+    """Edges without loops and repeats, each once, the lesser end first."""
+    return without_loops(edges).select(F.least("v0", "v1").alias("v0"), F.greatest("v0", "v1").alias("v1")).distinct()
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """Symmetric edges without repeats.
 
     Repeats are merged while an edge is one row; so half as many rows go
     through the shuffle as with both directions.
     """
-    once = without_loops(edges).select(F.least("v0", "v1").alias("v0"), F.greatest("v0", "v1").alias("v1")).distinct()
-    return symmetrize(once)
+    return symmetrize(merged(edges))
 
 
 def sorted_adjacency(edges: DataFrame) -> DataFrame:

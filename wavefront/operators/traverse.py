@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import durable
 from ..schema import LEVELS, TREE
+from . import graph
 
 # Fixed values of the direction rule.
 ALPHA = 2000
@@ -51,8 +52,12 @@ class Direction:
         return now
 
 
-def _side(df: DataFrame, rows: int | None) -> DataFrame:
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
+def side(df: DataFrame, rows: int | None) -> DataFrame:
+    """``df``, one row for each key, as a side of a join with a table of edges: broadcast if it has
+    few rows; else its partitions are hashed, so that no level or check has to sort the edges."""
+    if rows is None:
+        return df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("shuffle_hash")
 
 
 @dataclass
@@ -68,14 +73,14 @@ class Layout:
     hubs: DataFrame | None
     n_hubs: int
 
-    def join(self, side: DataFrame, rows: int | None, how: str = "inner") -> DataFrame:
-        """The edges joined with ``side`` (src and maybe more columns), which has so many rows."""
-        out = self.small.join(_side(side, rows), "src", how)
+    def join(self, other: DataFrame, rows: int | None, how: str = "inner") -> DataFrame:
+        """The edges joined with ``other`` (src and maybe more columns), which has so many rows."""
+        out = self.small.join(side(other, rows), "src", how)
         if self.large is None:
             return out
-        few = side.join(_side(self.hubs, self.n_hubs), "src", "left_semi")
+        few = other.join(side(self.hubs, self.n_hubs), "src", "left_semi")
         known = self.n_hubs if how == "left_anti" or rows is None else min(rows, self.n_hubs)
-        return out.unionByName(self.large.join(_side(few, known), "src", how))
+        return out.unionByName(self.large.join(side(few, known), "src", how))
 
     @property
     def edges(self) -> DataFrame:
@@ -87,49 +92,97 @@ class Layout:
                 kept.unpersist()
 
 
-def layout(adj: DataFrame, large: int = LARGE_ROW) -> Layout:
-    """``adj``, kept, with the rows of ``large`` neighbours and more apart."""
-    adj = adj.persist(StorageLevel.MEMORY_AND_DISK)
-    hubs = adj.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= large).select("src").persist(StorageLevel.MEMORY_AND_DISK)
+def _hubs(adj: DataFrame, large: int) -> DataFrame:
+    """(src) of the rows of ``large`` neighbours and more.
+
+    Sources are counted in buckets first, which tasks can do before the shuffle; only
+    a bucket of ``large`` edges and more can hold such a row, and few buckets have so many.
+    """
+    buckets = 1 << (adj.count() * 4 // large).bit_length()
+    coded = adj.select("src", F.xxhash64("src").bitwiseAND(F.lit(buckets - 1)).alias("bucket"))
+    full = coded.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= large).select("bucket").persist(StorageLevel.MEMORY_AND_DISK)
+    some = coded.join(side(full, full.count()), "bucket", "left_semi")
+    hubs = some.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= large).select("src").persist(StorageLevel.MEMORY_AND_DISK)
+    hubs.count()
+    full.unpersist()
+    return hubs
+
+
+def layout(adj: DataFrame, large: int = LARGE_ROW, source: DataFrame | None = None) -> Layout:
+    """``adj``, kept, with the rows of ``large`` neighbours and more apart.
+
+    ``source``: a table of fewer rows that ``adj`` is made of row by row (the edges
+    before symmetry), which is kept in place of ``adj`` meanwhile.
+    """
+    kept = (adj if source is None else source).persist(StorageLevel.MEMORY_AND_DISK)
+    hubs = _hubs(adj, large)
     n = hubs.count()
     if not n:
         hubs.unpersist()
         small = adj.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
         small.count()
-        adj.unpersist()
+        kept.unpersist()
         return Layout(small, None, None, 0)
-    side = _side(hubs, n)
-    small = adj.join(side, "src", "left_anti").repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
-    big = adj.join(side, "src", "left_semi").repartition("src", "dst").persist(StorageLevel.MEMORY_AND_DISK)
+    few = side(hubs, n)
+    small = adj.join(few, "src", "left_anti").repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+    big = adj.join(few, "src", "left_semi").repartition("src", "dst").persist(StorageLevel.MEMORY_AND_DISK)
     small.count(), big.count()
-    adj.unpersist()
+    kept.unpersist()
     return Layout(small, big, hubs, n)
 
 
-def _joined(adj: DataFrame | Layout, side: DataFrame, rows: int | None, how: str = "inner") -> DataFrame:
-    return adj.join(side, rows, how) if isinstance(adj, Layout) else adj.join(_side(side, rows), "src", how)
+class Kept:
+    """Raw edges kept for a search, each as one row wherever it is; both directions are made while it is read.
+
+    Repeats stay, as they change no least parent. A frontier of few rows is broadcast to the
+    edges. Only when one has more are the edges dealt out by source (:func:`layout`), once.
+    """
+
+    def __init__(self, edges: DataFrame) -> None:
+        self.once = graph.without_loops(edges).select("v0", "v1").persist(StorageLevel.MEMORY_AND_DISK)
+        self.dealt: Layout | None = None
+
+    @property
+    def edges(self) -> DataFrame:
+        return graph.symmetrize(self.once)
+
+    def join(self, other: DataFrame, rows: int | None, how: str = "inner") -> DataFrame:
+        if rows is not None and rows <= BROADCAST_ROWS:
+            return self.edges.join(side(other, rows), "src", how)
+        if self.dealt is None:
+            self.dealt = layout(graph.adjacency(self.once))
+        return self.dealt.join(other, rows, how)
+
+    def unpersist(self) -> None:
+        self.once.unpersist()
+        if self.dealt is not None:
+            self.dealt.unpersist()
+
+
+def _joined(adj: DataFrame | Layout | Kept, other: DataFrame, rows: int | None, how: str = "inner") -> DataFrame:
+    return adj.join(other, rows, how) if isinstance(adj, Layout | Kept) else adj.join(side(other, rows), "src", how)
 
 
-def expand(adj: DataFrame | Layout, frontier: DataFrame, rows: int | None = None) -> DataFrame:
+def expand(adj: DataFrame | Layout | Kept, frontier: DataFrame, rows: int | None = None) -> DataFrame:
     """(parent, child) for every edge out of the frontier."""
     return _joined(adj, frontier.select(F.col("vertex").alias("src")), rows).select(F.col("src").alias("parent"), F.col("dst").alias("child"))
 
 
-def top_down_step(adj: DataFrame | Layout, frontier: DataFrame, visited: DataFrame, rows: int | None = None, seen: int | None = None) -> DataFrame:
+def top_down_step(adj: DataFrame | Layout | Kept, frontier: DataFrame, visited: DataFrame, rows: int | None = None, seen: int | None = None) -> DataFrame:
     """(vertex, parent) of what the frontier reaches and was not visited."""
     found = expand(adj, frontier, rows).groupBy(F.col("child").alias("vertex")).agg(F.min("parent").alias("parent"))
-    return found.join(_side(visited.select("vertex"), seen), "vertex", "left_anti")
+    return found.join(side(visited.select("vertex"), seen), "vertex", "left_anti")
 
 
 def unvisited(vertices: DataFrame, visited: DataFrame) -> DataFrame:
     return vertices.join(visited.select("vertex"), "vertex", "left_anti")
 
 
-def bottom_up_step(adj: DataFrame | Layout, frontier: DataFrame, visited: DataFrame, rows: int | None = None, seen: int | None = None) -> DataFrame:
+def bottom_up_step(adj: DataFrame | Layout | Kept, frontier: DataFrame, visited: DataFrame, rows: int | None = None, seen: int | None = None) -> DataFrame:
     """The same, seen from the vertices that were not visited: each looks for the least
     neighbour in the frontier. Edges of visited vertices leave before the second join."""
     left = _joined(adj, visited.select(F.col("vertex").alias("src")), seen, "left_anti")
-    near = left.join(_side(frontier.select(F.col("vertex").alias("dst")), rows), "dst")
+    near = left.join(side(frontier.select(F.col("vertex").alias("dst")), rows), "dst")
     return near.groupBy(F.col("src").alias("vertex")).agg(F.min("dst").alias("parent"))
 
 
@@ -152,16 +205,18 @@ class Search:
         return spark.createDataFrame([tuple(level[f.name] for f in LEVELS) for level in self.levels], LEVELS)
 
 
-def bfs(adj: DataFrame | Layout, root: int, direction: str = "hybrid", vertices: int | None = None, count_relaxed: bool = False) -> Search:
+def bfs(adj: DataFrame | Layout | Kept, root: int, direction: str = "hybrid", vertices: int | None = None, count_relaxed: bool = False) -> Search:
     """The search from one root; ``direction`` is hybrid, top_down or bottom_up.
 
     ``adj`` is symmetric and read once for each level, so callers keep it
     (:func:`layout`, ``persist``, or a table bucketed by source). ``vertices``: the number of
-    vertices with an edge, if known. A root without edges reaches itself.
+    vertices with an edge, if known; the hybrid rule counts them else, and other directions leave
+    ``unvisited`` open. A root without edges reaches itself.
+    ``count_relaxed``: the edges out of each level's frontier, counted in one pass afterwards.
     """
-    edges = adj.edges if isinstance(adj, Layout) else adj
+    edges = adj.edges if isinstance(adj, Layout | Kept) else adj
     spark = edges.sparkSession
-    if vertices is None:
+    if vertices is None and direction == "hybrid":
         vertices = edges.select("src").distinct().count()
     found = spark.createDataFrame([(root, root, 0)], TREE)
     tree, frontier, levels = found, found, []
@@ -171,22 +226,25 @@ def bfs(adj: DataFrame | Layout, root: int, direction: str = "hybrid", vertices:
         step = top_down_step if state.forward else bottom_up_step
         new = durable(step(adj, frontier, tree, rows, visited).select("vertex", "parent", F.lit(level).alias("depth")))
         n = new.count()
-        relaxed = expand(adj, frontier, rows).count() if count_relaxed else None
         visited += n
-        levels.append({"level": level, "direction": "top_down" if state.forward else "bottom_up", "nq": n, "visited": visited, "unvisited": vertices - visited, "relaxed": relaxed})
+        levels.append({"level": level, "direction": "top_down" if state.forward else "bottom_up", "nq": n, "visited": visited, "unvisited": None if vertices is None else vertices - visited, "relaxed": None})
         if n:
             tree = tree.unionByName(new)
         frontier, rows = new, n
         if level % MERGE_EVERY == 0 and n:
             tree = durable(tree)
-        moved = state.after(n, vertices)
-        state = moved if direction == "hybrid" else replace(moved, forward=direction == "top_down")
+        if direction == "hybrid":
+            state = state.after(n, vertices)
+    if count_relaxed:
+        out = dict(_joined(adj, tree.select(F.col("vertex").alias("src"), "depth"), visited).distinct().groupBy("depth").count().collect())  # one for each level
+        for row in levels:
+            row["relaxed"] = out.get(row["level"] - 1, 0)
     return Search(tree, levels)
 
 
-def bfs_many(adj: DataFrame | Layout, roots: list[int]) -> DataFrame:
+def bfs_many(adj: DataFrame | Layout | Kept, roots: list[int]) -> DataFrame:
     """(root, vertex, parent, depth) for several roots at once: all searches share each level's join."""
-    spark = (adj.edges if isinstance(adj, Layout) else adj).sparkSession
+    spark = (adj.edges if isinstance(adj, Layout | Kept) else adj).sparkSession
     tree = frontier = spark.createDataFrame([(r, r, r, 0) for r in sorted(set(roots))], "root long, vertex long, parent long, depth int")
     level, rows = 0, len(set(roots))
     while rows:
@@ -202,7 +260,7 @@ def bfs_many(adj: DataFrame | Layout, roots: list[int]) -> DataFrame:
     return tree
 
 
-def reachable(adj: DataFrame | Layout, root: int) -> DataFrame:
+def reachable(adj: DataFrame | Layout | Kept, root: int) -> DataFrame:
     return bfs(adj, root).tree.select("vertex")
 
 

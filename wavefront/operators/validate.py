@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import durable
+from .traverse import side
 
 #: Later groups say nothing where an earlier one failed.
 GROUPS = [["parent_range", "root_range", "root_parent"], ["self_parent"], ["depth_presence", "depth_step"], ["edge_leaves_tree", "edge_spans_levels", "tree_edge_exists"]]
@@ -30,15 +31,16 @@ def tree_checks(tree: DataFrame, root: int, vertices: int) -> DataFrame:
 
 def depth_steps(tree: DataFrame, root: int) -> DataFrame:
     """Vertices whose parent is not in the tree or not exactly one level up."""
-    up = tree.select(F.col("vertex").alias("parent"), F.col("depth").alias("parent_depth"))
+    up = side(tree.select(F.col("vertex").alias("parent"), F.col("depth").alias("parent_depth")), tree.count())
     joined = tree.where(F.col("vertex") != root).join(up, "parent", "left")
     return joined.where(~F.coalesce(F.col("depth") == F.col("parent_depth") + 1, F.lit(False))).select("vertex")
 
 
 def with_depths(edges: DataFrame, tree: DataFrame) -> DataFrame:
     """Raw edges with the depths of both ends, null where not reached."""
-    d0 = tree.select(F.col("vertex").alias("v0"), F.col("depth").alias("d0"))
-    d1 = tree.select(F.col("vertex").alias("v1"), F.col("depth").alias("d1"))
+    n = tree.count()
+    d0 = side(tree.select(F.col("vertex").alias("v0"), F.col("depth").alias("d0")), n)
+    d1 = side(tree.select(F.col("vertex").alias("v1"), F.col("depth").alias("d1")), n)
     return edges.select("v0", "v1").join(d0, "v0", "left").join(d1, "v1", "left")
 
 
@@ -54,8 +56,8 @@ def edge_checks(edges: DataFrame, tree: DataFrame) -> DataFrame:
 
 def edge_visit_count(edges: DataFrame, tree: DataFrame) -> DataFrame:
     """Raw edges, repeats and loops included, of which both ends are in the tree."""
-    reached = tree.select("vertex")
-    both = edges.join(reached.withColumnRenamed("vertex", "v0"), "v0", "left_semi").join(reached.withColumnRenamed("vertex", "v1"), "v1", "left_semi")
+    n, reached = tree.count(), tree.select("vertex")
+    both = edges.join(side(reached.withColumnRenamed("vertex", "v0"), n), "v0", "left_semi").join(side(reached.withColumnRenamed("vertex", "v1"), n), "v1", "left_semi")
     return both.agg(F.count("*").alias("n"))
 
 
@@ -63,7 +65,8 @@ def missing_tree_edges(edges: DataFrame, tree: DataFrame, root: int) -> DataFram
     """Vertices whose edge to the parent is in the input in neither direction."""
     ends = edges.select(F.least("v0", "v1").alias("a"), F.greatest("v0", "v1").alias("b"))
     named = tree.where(F.col("vertex") != root).select("vertex", F.least("vertex", "parent").alias("a"), F.greatest("vertex", "parent").alias("b"))
-    return named.join(ends, ["a", "b"], "left_anti").select("vertex")
+    found = ends.join(side(named.select("a", "b"), tree.count()), ["a", "b"], "left_semi").distinct()  # no more rows than the tree; edges of no name leave before any shuffle where it is small
+    return named.join(found, ["a", "b"], "left_anti").select("vertex")
 
 
 def violations(edges: DataFrame, tree: DataFrame, root: int, vertices: int) -> DataFrame:
